@@ -6,7 +6,6 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of this machine where it is unset (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (named or f"file://{os.path.join(tempfile.gettempdir(), 'arbora-checkpoints')}").rstrip("/")
 
-    ``spark.checkpoint.dir`` is shared by all executors, so the rows survive a lost one. Only where
-    the session has none (a local test) is a folder made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the shared folder, so the rows survive a lost executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "arbora-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

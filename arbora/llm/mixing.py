@@ -83,17 +83,17 @@ def mix(docs: DataFrame) -> DataFrame:
     Size is the number of words (null text: 0). Documents of size 0 are never short of budget and
     are taken in every epoch and, in the fractional one, if their key comes before its end. Ties of
     keys (equal ids) fall to the smaller size. An empty table gives an empty result. Columns of the
-    input that bear one of the new names are replaced; all others stay.
+    input that bear one of the new names, or begin with an underscore, go; all others stay.
     """
     size = word_count(F.col("text"))
-    base = docs.select("*", size.alias("_size"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
+    own = [c for c in docs.columns if not c.startswith("_") and c not in ("size", "source_size", "target", "copies", "taken")]
+    base = docs.select(*own, size.alias("_size"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
     base = base.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality(F.col("_size"), F.col("_chars")))
     base = base.withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    return _select(base)
+    return _select(base, own)
 
 
-def _select(base: DataFrame) -> DataFrame:
-    keep = [c for c in base.columns if c not in ("size", "source_size", "target", "copies", "taken") and not c.startswith("_")]
+def _select(base: DataFrame, keep: list[str]) -> DataFrame:
     per = cut(base.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum")))
     goal = targets(per.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     goal = goal.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -118,7 +118,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = docs.select("doc_id", "source", size.alias("_size"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
     base = base.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality(F.col("_size"), F.col("_chars")))
     base = base.withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    return _select(cut(base)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return _select(cut(base), ["doc_id", "source"]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = f"""

@@ -151,14 +151,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
     Of rows that share that id one stays. Rows without an id stay only where their whole group has none.
-    Documents without any word have nothing to be alike in and all stay. Columns are those of ``docs``.
+    Texts without a word are near duplicates of one another. Columns are those of ``docs``.
     """
     keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
     prints = cut(with_fingerprints(keyed, "doc_id", "_key").withColumnRenamed("_key", "k"))
     comp = near_classes(prints.select("doc_id", "fp")).select("fp", "component_id").distinct()
-    member = prints.join(comp, "fp").where(F.col("fp") != 0)
-    lead = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"))
-    stay = lead.select(F.col("first.k").alias("_key")).union(prints.where("fp = 0").select(F.col("k").alias("_key")).distinct())
-    kept = keyed.join(stay.distinct(), "_key", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
+    lead = prints.join(comp, "fp").groupBy("component_id").agg(first.alias("first"))
+    stay = cut(lead.select(F.col("first.k").alias("_key")).distinct())
+    kept = keyed.join(stay, "_key", "left_semi")
     w = Window.partitionBy("_key").orderBy("_key")
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
+    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)

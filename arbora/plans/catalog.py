@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import solids as S
 from ..functions import vector as V
-from ..operators import branching, features, geometry, lmeasure, population, surgery, volume
+from ..operators import branching, construct, features, geometry, images, lmeasure, population, surgery, volume
 from ..operators import topology as T
+from ..sources import swc
 from .forest import BRANCH, CTE, WALK, forest
 
 FLAGSHIP = "tree_summary"
@@ -286,9 +287,9 @@ _SAMPLED = BRANCH + """,
 ms AS (SELECT *, sum(d) OVER (PARTITION BY tree_id, branch_id ORDER BY pos) AS s FROM (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2), 0) AS d FROM bp WINDOW w AS (PARTITION BY tree_id, branch_id ORDER BY pos))),
 pc AS (SELECT *, lead(s) OVER w AS t, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, lead(r) OVER w AS nr FROM ms WINDOW w AS (PARTITION BY tree_id, branch_id ORDER BY pos)),
 sp AS (SELECT bl.tree_id, bl.branch_id, k, {at} AS place FROM bl, range(0, 1000000) g(k) WHERE length > 0 AND k < {count})"""
-_AT = "SELECT sp.tree_id, sp.branch_id::BIGINT AS branch_id, k AS pos, " + ", ".join(f"round(max_by({c} + CASE WHEN t > s THEN (least(place, t) - s) / (t - s) ELSE 0 END * (n{c} - {c}), s), 4) + 0.0 AS {c}" for c in "xyzr") + " FROM sp JOIN pc ON pc.tree_id = sp.tree_id AND pc.branch_id = sp.branch_id AND pc.t > pc.s AND pc.s <= place + 1e-9 GROUP BY sp.tree_id, sp.branch_id, k"
-register("resample_linear", lambda n: branching.resample_linear(T.branches(n), 9), CTE + _SAMPLED.format(at="k * length / 8", count="9").replace("range(0, 1000000)", "range(0, 9)") + _AT, 4)
-register("resample_isometric", lambda n: branching.resample_isometric(T.branches(n), 20.0), CTE + _SAMPLED.format(at="k * length / ceil(length / 20 - 1e-12)", count="ceil(length / 20 - 1e-12) + 1").replace("range(0, 1000000)", "range(0, 2000)") + _AT, 4)
+_AT = "SELECT sp.tree_id, sp.branch_id::BIGINT AS branch_id, k AS pos, " + ", ".join(f"round(max_by({c} + CASE WHEN t > s THEN (least(place, t) - s) / (t - s) ELSE 0 END * (n{c} - {c}), s), 6) + 0.0 AS {c}" for c in "xyzr") + " FROM sp JOIN pc ON pc.tree_id = sp.tree_id AND pc.branch_id = sp.branch_id AND pc.t > pc.s AND pc.s <= place + 1e-9 GROUP BY sp.tree_id, sp.branch_id, k"
+register("resample_linear", lambda n: branching.resample_linear(T.branches(n), 9), CTE + _SAMPLED.format(at="k * length / 8", count="9").replace("range(0, 1000000)", "range(0, 9)") + _AT)
+register("resample_isometric", lambda n: branching.resample_isometric(T.branches(n), 20.0), CTE + _SAMPLED.format(at="k * length / ceil(length / 20 - 1e-12)", count="ceil(length / 20 - 1e-12) + 1").replace("range(0, 1000000)", "range(0, 2000)") + _AT)
 
 # -- populations and features ------------------------------------------------------------------------
 
@@ -301,3 +302,60 @@ register("feature_histogram", lambda n: features.histogram(features.extract(n, "
 v AS (SELECT rd FROM rad WHERE rd <> 0), m AS (SELECT min(rd) AS a, (max(rd) - min(rd)) / 20 AS w FROM v)
 SELECT 'node_radial_distance' AS feature, b AS bin, round(a + b * w, 6) + 0.0 AS low, round(a + b * w + w, 6) + 0.0 AS high, count(rd)::BIGINT AS n
 FROM m CROSS JOIN range(0, 20) g(b) LEFT JOIN v ON least(floor((rd - a) / w), 19) = b GROUP BY a, w, b""")
+
+# -- images: every embedding is a stack of one row of voxels -------------------------------------------
+
+
+def register_voxels(name: str, plan: Callable[[DataFrame], DataFrame], sql: str, digits: int = 6) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+        v = e.select(F.col("vec_id").cast("string").alias("path"), F.posexplode("embedding").alias("i", "v"))
+        zero = F.lit(0)
+        return rounded(plan(v.select("path", "i", zero.alias("j"), zero.alias("k"), zero.alias("c"), F.col("v").cast("double").alias("v"))), digits)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = _VOXELS + sql
+
+
+_VOXELS = "WITH vx AS (SELECT vec_id::VARCHAR AS path, generate_subscripts(embedding, 1)::BIGINT - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_VROW = "path, i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS c"
+register_voxels("image_contrast", lambda v: images.contrasts(v, F.col("i") < 16), f"""
+SELECT path, {_r('stddev_pop(v)', 'std', 4)}, {_r('(max(v) - min(v)) / nullif(max(v) + min(v), 0)', 'michelson', 4)}, {_r('sqrt(avg(v * v))', 'rms', 4)},
+       {_r('(avg(v) FILTER (i < 16) - avg(v) FILTER (i >= 16)) / nullif(avg(v) FILTER (i >= 16), 0)', 'weber', 4)} FROM vx GROUP BY path""", 4)
+register_voxels("image_folder_stat", images.folder_statistics, f"SELECT (SELECT count(DISTINCT path) FROM vx)::BIGINT AS count, {_r('min(v)', 'minimum')}, {_r('max(v)', 'maximum')}, {_r('avg(v)', 'mean')}, (SELECT round(avg(q), 6) + 0.0 FROM (SELECT var_samp(v) AS q FROM vx GROUP BY i)) AS variance FROM vx")
+register_voxels("image_scale", lambda v: images.scale(v, 3.0), f" SELECT {_VROW}, {_r('v * 3', 'v')} FROM vx")
+register_voxels("image_clip", images.clip, f" SELECT {_VROW}, {_r('greatest(0, least(1, v))', 'v')} FROM vx")
+register_voxels("image_normalise", images.normalise, f" SELECT {_VROW}, {_r('(v - avg(v) OVER w) / nullif(var_pop(v) OVER w, 0)', 'v', 4)} FROM vx WINDOW w AS (PARTITION BY path)", 4)
+register_voxels("image_adjust", lambda v: images.adjust(v, 0.1, 0.5), f" SELECT {_VROW}, {_r('(v - 0.1) / 0.5', 'v')} FROM vx")
+register_voxels("image_unit_range", lambda v: images.to_unit_range(v, -0.25, 0.25), f" SELECT {_VROW}, {_r('greatest(0, least(1, (v + 0.25) / 0.5))', 'v')} FROM vx")
+register_voxels("image_flip", lambda v: images.flip(v, "i"), f" SELECT path, 63 - i AS i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS c, {_r('v', 'v')} FROM vx")
+register_voxels("image_crop", lambda v: images.center_crop(v, (20, 1, 1)), f" SELECT path, i - 22 AS i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS c, {_r('v', 'v')} FROM vx WHERE i >= 22 AND i < 42")
+register_voxels("image_equalise", lambda v: images.equalise(v, 32), """,
+mm AS (SELECT *, min(v) OVER w AS a, (max(v) OVER w - min(v) OVER w) / 32 AS wd, count(*) OVER w AS n FROM vx WINDOW w AS (PARTITION BY path)),
+bn AS (SELECT *, coalesce((v - a) / nullif(wd, 0), 0) AS pos, least(floor(coalesce((v - a) / nullif(wd, 0), 0)), 31) AS b FROM mm),
+hs AS (SELECT path, b, count(*) AS c FROM bn GROUP BY ALL),
+cd AS (SELECT p.path, g.b, sum(coalesce(h.c, 0)) OVER (PARTITION BY p.path ORDER BY g.b) AS f FROM (SELECT DISTINCT path FROM vx) p CROSS JOIN range(0, 32) g(b) LEFT JOIN hs h ON h.path = p.path AND h.b = g.b),
+cn AS (SELECT *, coalesce(lead(f) OVER (PARTITION BY path ORDER BY b), f) AS g FROM cd)
+SELECT bn.path, bn.i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS c, round(f / n + CASE WHEN bn.b < 31 THEN least(pos - bn.b, 1) * (g / n - f / n) ELSE 0 END, 5) + 0.0 AS v FROM bn JOIN cn ON cn.path = bn.path AND cn.b = bn.b""", 5)
+
+# -- whole-tree operators and formats ------------------------------------------------------------------
+
+register("swc_roundtrip", lambda n: swc.parse(swc.to_lines(n).select(F.col("tree_id").cast("string").alias("tree_id"), F.col("id").alias("pos"), F.col("line").alias("value"))).select("tree_id", "id", "type", "x", "y", "z", "r", "pid"), CTE + f"""
+SELECT tree_id::VARCHAR AS tree_id, (id + 1)::BIGINT AS id, type::BIGINT AS type, (CASE WHEN pid = -1 THEN -1 ELSE pid + 1 END)::BIGINT AS pid, {', '.join(_r(c, c, 4) for c in 'xyzr')} FROM nodes""", 4)
+register("dfs_sort", construct.sort_nodes)
+register("link_nearest", lambda n: construct.link_nearest(n.withColumn("pid", F.when(F.col("id") % 20 == 0, -1).otherwise(F.col("pid")))))
+register("traverse", lambda n: construct.traverse(n, "double", leave=lambda r, kids: float(max(1, sum(kids)))), CTE + _DESC + """
+SELECT a.tree_id, a.up::BIGINT AS id, sum((n.n_children = 0)::INT)::DOUBLE AS value FROM anc a JOIN nc n ON a.tree_id = n.tree_id AND a.id = n.id GROUP BY ALL""")
+_CLOUD = lambda n: n.where("tree_id % 5 = 0").select(F.col("tree_id").alias("cloud_id"), F.col("id").alias("pos"), "x", "y", "z")
+register("mst", lambda n: construct.minimum_spanning_tree(_CLOUD(n)))
+register("cuntz_mst", lambda n: construct.points_to_tree(_CLOUD(n)))
+register("lines_to_tree", lambda n: construct.lines_to_tree(T.branches(n).select("tree_id", F.col("branch_id").alias("line_id"), "pos", "type", "x", "y", "z", "r")))
+register("standardise", lambda n: branching.standardise(T.branches(n)))
+register("mvee", construct.ellipses, digits=4)
+register("volume_middle", lambda n: volume.tree_volume(n, samples=2000), digits=3)
+register("voxelise", lambda n: images.voxelise(n, 8.0).groupBy("tree_id").agg(F.count("*").alias("n_voxels")))
+register("resample_tree", lambda n: branching.resample_tree(n, distance=20.0).groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum((F.col("pid") == -1).cast("long")).alias("n_roots")), CTE + BRANCH + """
+SELECT tree_id, (1 + sum(CASE WHEN length = 0 THEN 0 ELSE ceil(length / 20 - 1e-12) END))::BIGINT AS n_nodes, 1::BIGINT AS n_roots FROM bl GROUP BY tree_id""")
+register("floret_share", lambda n: construct.length_share(n, construct.florets(n, n.where("id = 2").select("tree_id", "id"))[1]), CTE + _DESC + f"""
+SELECT p.tree_id, 2::BIGINT AS start, {_r('sum(CASE WHEN p.id > 2 AND a.up = 2 THEN p.step END) / (SELECT sum(q.step) FROM par q WHERE q.tree_id = p.tree_id)', 'share')}
+FROM par p JOIN anc a ON a.tree_id = p.tree_id AND a.id = p.id AND a.up = 2 AND p.id <> 2 GROUP BY p.tree_id""")

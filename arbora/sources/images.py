@@ -344,8 +344,11 @@ def tile_at(tiles: DataFrame, points: DataFrame, level: int = 0) -> DataFrame:
     t = tiles.where(F.col("level") == level)
     starts = t.agg(*(F.array_sort(F.collect_set(f"{c}0")).alias(f"_{c}") for c in "xyz"))
     p = points.crossJoin(F.broadcast(starts))  # one row: the starts along each axis
-    for c in "xyz":
-        p = p.withColumn(f"{c}0", F.array_max(F.filter(F.col(f"_{c}"), lambda v, c=c: v <= F.col(c))))
+
+    def last_start(c: str) -> Column:
+        return F.array_max(F.filter(F.col(f"_{c}"), lambda v: v <= F.col(c)))
+
+    p = p.withColumns({f"{c}0": last_start(c) for c in "xyz"})
     out = p.join(t.select("path", "x0", "y0", "z0"), ["x0", "y0", "z0"], "left")
     return out.select(*points.columns, "path", *((F.col(c) - F.col(f"{c}0")).alias(f"d{c}") for c in "xyz"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import solids as S
 from ..functions import vector as V
-from ..operators import branching, construct, features, geometry, images, lmeasure, population, surgery, volume
+from ..operators import branching, construct, features, geometry, graphs, images, lmeasure, population, surgery, views, volume
 from ..operators import topology as T
 from ..sources import swc
 from .forest import BRANCH, CTE, WALK, forest
@@ -359,3 +359,14 @@ SELECT tree_id, (1 + sum(CASE WHEN length = 0 THEN 0 ELSE ceil(length / 20 - 1e-
 register("floret_share", lambda n: construct.length_share(n, construct.florets(n, n.where("id = 2").select("tree_id", "id"))[1]), CTE + _DESC + f"""
 SELECT p.tree_id, 2::BIGINT AS start, {_r('sum(CASE WHEN p.id > 2 AND a.up = 2 THEN p.step END) / (SELECT sum(q.step) FROM par q WHERE q.tree_id = p.tree_id)', 'share')}
 FROM par p JOIN anc a ON a.tree_id = p.tree_id AND a.id = p.id AND a.up = 2 AND p.id <> 2 GROUP BY p.tree_id""")
+
+# -- graphs and views ----------------------------------------------------------------------------------
+
+register("graph_edges", lambda n: graphs.to_graph(n, bidirected=True)[0], CTE + "SELECT tree_id, pid::BIGINT AS src, id::BIGINT AS dst FROM nodes WHERE pid <> -1 UNION ALL SELECT tree_id, id, pid FROM nodes WHERE pid <> -1")
+register("matrix_product", lambda n: graphs.product(graphs.edge_distances(n), T.adjacency(n)), CTE + f"SELECT a.tree_id, a.pid::BIGINT AS i, b.id::BIGINT AS j, {_r('sum(a.step)', 'v')} FROM par a JOIN par b ON a.tree_id = b.tree_id AND b.pid = a.id WHERE a.pid <> -1 GROUP BY ALL")
+register("pair_distances", lambda n: graphs.pair_distances(n, 12.0), CTE + """
+SELECT * FROM (SELECT a.tree_id, a.id::BIGINT AS a, b.id::BIGINT AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) + 0.0 AS distance
+FROM nodes a JOIN nodes b ON a.tree_id = b.tree_id AND a.id < b.id) WHERE distance <= 12""")
+register("view_segments", views.segments, CTE + f"""
+SELECT tree_id, id::BIGINT AS id, {_r('px', 'x0')}, {_r('py', 'y0')}, {_r('x', 'x1')}, {_r('y', 'y1')}, ([{', '.join(repr(c) for c in views.PALETTE)}])[ptype % 8 + 1] AS colour FROM par WHERE pid <> -1""")
+register("bounding_boxes", views.boxes, CTE + "SELECT tree_id, " + ", ".join(_r(f"{f}({c})", f"{f}_{c}") for f in ("min", "max") for c in "xyz") + " FROM nodes GROUP BY tree_id")

@@ -213,16 +213,23 @@ def augmentation_schedule(n: int, k: int, seed: int = 0, include_identity: bool
 def voxelise(nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(tree_id, i, j, k) of the voxels of a tree: those whose centre lies in a round cone of an edge.
 
-    Each edge yields the voxels of its own box, so work follows the volume of the tree and not the box
-    of the whole. Centres are at (i + 0.5) * resolution.
+    Each edge is taken in pieces about as long as thick and each piece yields the voxels of its own box,
+    so work follows the volume of the tree and not the box of the whole. Centres are at (i + 0.5) *
+    resolution.
     """
-    e = T.edges(nodes)
     res = float(resolution)
-    lo = {c: F.floor((F.least(F.col(f"p_{c}") - F.col("p_r"), F.col(f"c_{c}") - F.col("c_r"))) / res).cast("int") for c in "xyz"}
-    hi = {c: F.ceil((F.greatest(F.col(f"p_{c}") + F.col("p_r"), F.col(f"c_{c}") + F.col("c_r"))) / res).cast("int") for c in "xyz"}
-    g = e
+    e = T.edges(nodes).withColumn("_r", F.greatest("p_r", "c_r"))
+    pieces = F.greatest(F.ceil(F.col("length") / (2 * F.col("_r") + 2 * res)), F.lit(1)).cast("int")
+    g = e.withColumn("_m", pieces).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+
+    def end(c: str, t: Column) -> Column:
+        return F.col(f"p_{c}") + (F.col(f"c_{c}") - F.col(f"p_{c}")) * t / F.col("_m")
+
     for c, a in zip("xyz", "ijk"):
-        g = g.withColumn(a, F.explode(F.sequence(lo[c], hi[c])))
+        u, v = end(c, F.col("_t")), end(c, F.col("_t") + 1)
+        lo = F.floor((F.least(u, v) - F.col("_r")) / res).cast("int")
+        hi = F.ceil((F.greatest(u, v) + F.col("_r")) / res).cast("int")
+        g = g.withColumn(a, F.explode(F.sequence(lo, hi)))
     p = tuple((F.col(a) + 0.5) * res for a in "ijk")
     d = S.sdf_round_cone(p, V.vec("p_"), V.vec("c_"), F.col("p_r"), F.col("c_r"))
     return g.where(d <= 0).select("tree_id", "i", "j", "k").distinct()

@@ -3,9 +3,10 @@
 An encoding is the best path through the lattice of pieces that match the text. Weights add along a
 path and the best path wins, so the lattice between two cuts of a text is a max-plus matrix from the
 states at the one cut to the states at the other, and matrices combine associatively. A state at a
-cut is the piece that covers the character before it. Giant texts are cut into chunks; each chunk
-gives its matrix, a scan over the few matrices of a text fixes the state at every cut, and each chunk
-is then traced back on its own.
+cut is the piece that covers the character before it. Texts above CHUNK characters are cut into chunks
+that are shuffled as rows of their own; each gives its matrix, a scan over the few matrices of a text
+fixes the state at every cut, and each chunk is then traced back on its own (``encode_giants``). A cut
+moves to the next word start where one is near, so that most have a single state.
 
 * Unigram models: the weight of a piece is its score.
 * BPE models: the weight is 0 and a piece may follow another only if the model's merges leave just
@@ -25,6 +26,7 @@ import re
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ MODEL = os.environ.get("ARBORA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mode
 #: Characters of a chunk; words above LONG characters are scanned chunk by chunk, too.
 CHUNK = 1 << 16
 LONG = 40
+#: How far a cut looks for a word start, and the characters kept before a chunk (above the longest piece).
+LOOK, PAD = 4096, 64
 #: Words a worker remembers.
 REMEMBERED = 400_000
 SPACE = "▁"
@@ -453,6 +457,88 @@ class Encoder:
         return self._ids(text, symbols)
 
 
+    # -- one chunk of a giant text -------------------------------------------------------------------
+
+    @staticmethod
+    def place(piece: str, cut: int, edge: bool, look: int = LOOK) -> tuple[int, bool]:
+        """Where a cut lies: at the next word start within ``look`` (one state), else where it is."""
+        if edge:
+            return cut, True
+        p = word_start(piece, cut, cut + look)
+        return (cut, False) if p < 0 else (p, True)
+
+    def _ends(self, piece: str, a: tuple[int, bool], b: tuple[int, bool]):
+        """States before and after, and the first and last word start between (-1: none)."""
+        before = [(a[0], a[0], -1)] if a[1] else self.states(piece, a[0])
+        after = [(b[0], b[0], -1)] if b[1] else self.states(piece, b[0])
+        first = a[0] if a[1] else word_start(piece, a[0], b[0])
+        last = b[0] if b[1] else last_start(piece, max(first, a[0]), b[0]) if first >= 0 else -1
+        if first >= 0 and last < first:
+            last = first
+        return before, after, first, last
+
+    def _reach(self, piece: str, state: tuple[int, int, int], to: list[tuple[int, int, int]], cut: int, aligned: bool) -> list[tuple[float, dict]]:
+        best = self._follow(piece[:cut] if aligned else piece, state, cut)
+        out = []
+        for s, e, i in to:
+            if aligned:
+                out.append((best[cut][0] if cut in best else LOW, best))
+            elif state == (s, e, i):
+                out.append((0.0, best))
+            else:
+                out.append((best[e][0] if e in best and e > state[1] and best[e][1:] == (s, i) else LOW, best))
+        return out
+
+    def chunk_matrix(self, piece: str, a: tuple[int, bool], b: tuple[int, bool]) -> np.ndarray:
+        """Max-plus matrix of the chunk between two places."""
+        before, after, first, last = self._ends(piece, a, b)
+        if a[1] and b[1]:
+            return np.zeros((1, 1))
+        if first < 0:
+            return np.array([[w for w, _ in self._reach(piece, r, after, b[0], b[1])] for r in before]).reshape(len(before), len(after))
+        head = np.array([0.0 if a[1] else self._reach(piece, r, [(first, first, -1)], first, True)[0][0] for r in before])
+        tail = np.zeros(1) if b[1] else np.array([w for w, _ in self._reach(piece, (last, last, -1), after, b[0], False)])
+        return head[:, None] + tail[None]
+
+    def chunk_ids(self, piece: str, a: tuple[int, bool], b: tuple[int, bool], r: int, c: int) -> bytes:
+        """Ids of the chunk from state r before it to state c after it, that of r left out."""
+        before, after, first, last = self._ends(piece, a, b)
+
+        def trace(state, target, cut, aligned) -> bytes:
+            w, best = self._reach(piece, state, [target], cut, aligned)[0]
+            part, e = [], cut if aligned else target[1]
+            while e > state[1]:
+                _, s, i = best[e]
+                part.append(i if i < self.m.size else -1 - s)
+                e = s
+            return self._ids(piece, part[::-1])
+
+        if first < 0:
+            return trace(before[r], after[c], b[0], b[1])
+        out = b"" if a[1] else trace(before[r], (first, first, -1), first, True)
+        if last > first:
+            units = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", piece[first:last])
+            new = {u[1:] for u in units if u[0] == SPACE and SPACE not in u[1:] and u[1:] not in self.words}
+            self.learn(new)
+            out += b"".join(map(self.unit_or_word, units))
+        return out if b[1] else out + trace((last, last, -1), after[c], b[0], False)
+
+
+def word_start(text: str, lo: int, hi: int) -> int:
+    """First place from lo on, before hi, where a space follows another character; -1 if there is none."""
+    p = text.find(SPACE, max(lo, 1), hi)
+    while p >= 0 and text[p - 1] == SPACE:
+        p = text.find(SPACE, p + 1, hi)
+    return p
+
+
+def last_start(text: str, lo: int, hi: int) -> int:
+    p = text.rfind(SPACE, max(lo, 1), hi)
+    while p >= 0 and text[p - 1] == SPACE:
+        p = text.rfind(SPACE, max(lo, 1), p)
+    return p
+
+
 def decode(model: Model, ids) -> str:
     """The text of ids; the leading space that encoding adds goes."""
     raw = b"".join(map(model.text.__getitem__, ids)).decode("utf-8", "replace")
@@ -470,9 +556,78 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_column(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name goes."""
-    keep = [c for c in docs.columns if c != "tokens"]
+def _cut_up(chunk: int, look: int):
+    """Chunks of texts: (k, i, n, a, b, piece); the chunk is piece[a:b], with what its cuts may need around it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()
+        for batch in batches:
+            for k, t in zip(batch.column(batch.schema.get_field_index("k")).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist()):
+                text = SPACE + t.replace(" ", SPACE)
+                n = -(-len(text) // chunk)
+                for i in range(n):
+                    lo, a, b = max(0, i * chunk - PAD), i * chunk, min(len(text), (i + 1) * chunk)
+                    row = k, i, n, a - lo, b - lo, text[lo : b + look]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], w) for v, w in zip(row, kinds)], ["k", "i", "n", "a", "b", "piece"])
+
+    return run
+
+
+def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look: int = LOOK) -> DataFrame:
+    """(k, ids) of rows (k, text) with distinct keys: ids as packed 32-bit numbers, by a scan over chunks.
+
+    What one task holds of a text is a chunk, then the matrices of its chunks, and last its ids.
+    """
+    from ..runtime import cut
+
+    chunks = cut(texts.mapInArrow(_cut_up(chunk, look), "k long, i int, n int, a int, b int, piece string").repartition("k", "i"))
+
+    def places(enc: Encoder, r) -> tuple:
+        return enc.place(r.piece, r.a, r.i == 0, look), enc.place(r.piece, r.b, r.i == r.n - 1, look)
+
+    def matrices(batches):
+        enc = _encoder(path)
+        for pdf in batches:
+            m = [enc.chunk_matrix(r.piece, *places(enc, r)) for r in pdf.itertuples()]
+            yield pd.DataFrame({"k": pdf.k, "i": pdf.i, "rows": [x.shape[0] for x in m], "cols": [x.shape[1] for x in m], "m": [x.tobytes() for x in m]})
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        ms = [np.frombuffer(m).reshape(r, c) for m, r, c in zip(pdf.m, pdf.rows, pdf.cols)]
+        ahead = [np.zeros(ms[0].shape[0])]
+        for x in ms:
+            ahead.append((ahead[-1][:, None] + x).max(0))
+        at, ends = int(ahead[-1].argmax()), []
+        for x, w in zip(reversed(ms), reversed(ahead[:-1])):
+            up = int((w + x[:, at]).argmax())
+            ends.append((up, at))
+            at = up
+        ends.reverse()
+        return pd.DataFrame({"k": pdf.k, "i": pdf.i, "r": [e[0] for e in ends], "c": [e[1] for e in ends]})
+
+    def traces(batches):
+        enc = _encoder(path)
+        for pdf in batches:
+            ids = [enc.chunk_ids(r.piece, *places(enc, r), r.r, r.c) for r in pdf.itertuples()]
+            yield pd.DataFrame({"k": pdf.k, "i": pdf.i, "part": ids})
+
+    got = chunks.mapInPandas(matrices, "k long, i int, rows int, cols int, m binary")
+    chosen = got.groupBy("k").applyInPandas(combine, "k long, i int, r int, c int")
+    parts = chunks.join(chosen, ["k", "i"]).mapInPandas(traces, "k long, i int, part binary")
+    whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("p"))
+
+    def join(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf.k, "ids": [b"".join(bytes(x["part"]) for x in p) for p in pdf.p]})
+
+    return whole.mapInPandas(join, "k long, ids binary")
+
+
+def _with_ids(docs: DataFrame, path: str) -> DataFrame:
+    """docs with _ids, the packed ids of text. Columns that begin with an underscore go."""
+    keep = [c for c in docs.columns if not c.startswith("_")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
@@ -483,15 +638,34 @@ def encode_column(docs: DataFrame, path: str = MODEL) -> DataFrame:
             text = b.column(b.schema.get_field_index("_text"))
             for i in range(0, len(text), 1000):
                 ids = enc.encode([t or "" for t in text.slice(i, 1000).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, 1000) for n in keep), tokens], [*keep, "tokens"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, 1000) for n in keep), pa.array([x.tobytes() for x in ids], pa.binary())], [*keep, "_ids"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, tokens array<int>")
+    giant = F.coalesce(F.length("text") >= CHUNK, F.lit(False))
+    small = docs.where(~giant).select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, _ids binary")
+    large = docs.where(giant).select(*keep, F.xxhash64("text").alias("_k"))
+    ids = encode_giants(docs.where(giant).select(F.xxhash64("text").alias("k"), "text").dropDuplicates(["k"]), path)
+    return small.unionByName(large.join(ids.select(F.col("k").alias("_k"), F.col("ids").alias("_ids")), "_k").select(*keep, "_ids"))
+
+
+def encode_column(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name goes."""
+    keep = [c for c in docs.columns if c != "tokens" and not c.startswith("_")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids = [np.frombuffer(x, np.int32) for x in b.column(b.schema.get_field_index("_ids")).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), tokens], [*keep, "tokens"])
+
+    return _with_ids(docs.select(*keep), path).mapInArrow(run, f"{fields}, tokens array<int>")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids_sha256 (of the ids as 32-bit little-endian) and decoded_sha256.
+    """doc_id, n_chars (of the decoded text), n_tokens, ids_sha256 (of the ids as 32-bit little-endian) and decoded_sha256.
 
     The decoded text is that of the ids; it is the text itself, but for U+2581, which the format keeps for spaces.
     """
@@ -501,22 +675,15 @@ def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        enc = _encoder(path)
+        model = _encoder(path).m
         for b in batches:
-            text = b.column(b.schema.get_field_index("text"))
-            for i in range(0, len(text), 1000):
-                texts = [t or "" for t in text.slice(i, 1000).to_pylist()]
-                ids = enc.encode(texts)
-                back = [decode(enc.m, x.tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(b.schema.get_field_index("doc_id")).slice(i, 1000),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                    ],
-                    ["doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.mapInArrow(run, f"doc_id {kind}, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            cols: list[list] = [[], [], [], []]
+            for x in b.column(b.schema.get_field_index("_ids")).to_pylist():
+                ids = np.frombuffer(x, np.int32)
+                back = decode(model, ids.tolist())
+                for c, v in zip(cols, (len(back), len(ids), hashlib.sha256(x).hexdigest(), hashlib.sha256(back.encode()).hexdigest())):
+                    c.append(v)
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), *arrays], ["doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _with_ids(docs, path).select("doc_id", "_ids").mapInArrow(run, f"doc_id {kind}, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -531,3 +531,18 @@ def test_mix(spark, docs, corpus, empty):
     again = sorted((str(r.doc_id), r.taken) for r in mixing.mix(docs.repartition(5)).collect())
     assert again == sorted((str(r.doc_id), r.taken) for r in rows)
     assert mixing.mix(empty).count() == 0
+
+
+def test_giant_texts_in_chunks(spark, monkeypatch, encoder):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("therion s\n") for _ in range(900)), "x" * 700, "a b  " * 200, "  " * 300, "é☃ " * 300 + "w" * 500, words(rng, 300), " lead " + "日本" * 200]
+    texts += [texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: x.tolist() for i, x in enumerate(encoder.encode(texts))}
+    keyed = df.select(F.col("doc_id").alias("k"), "text")
+    for chunk, look in ((128, 24), (200, 100), (700, 16)):
+        got = {r.k: np.frombuffer(bytes(r.ids), np.int32).tolist() for r in pieces.encode_giants(keyed, pieces.MODEL, chunk, look).collect()}
+        assert got == want
+    monkeypatch.setattr(pieces, "CHUNK", 600)  # sends the longer texts through the chunks
+    got = {r.doc_id: r.tokens for r in pieces.encode_column(df).collect()}
+    assert got == want

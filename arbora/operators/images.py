@@ -230,9 +230,16 @@ def voxelise(nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
         lo = F.floor((F.least(u, v) - F.col("_r")) / res).cast("int")
         hi = F.ceil((F.greatest(u, v) + F.col("_r")) / res).cast("int")
         g = g.withColumn(a, F.explode(F.sequence(lo, hi)))
+    g = g.withColumns({f"_{c}": (F.col(a) + 0.5) * res - F.col(f"p_{c}") for c, a in zip("xyz", "ijk")})
+    ba, q = V.sub(V.vec("c_"), V.vec("p_")), V.vec("_")
+    # first the distance to the axis, which few voxels of a box pass; then the exact one
+    along = F.coalesce(F.try_divide(V.dot(q, ba), F.col("length") * F.col("length")), F.lit(0.0))
+    g = g.withColumn("_s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
+    g = g.where(V.dot(q, q) - 2 * F.col("_s") * V.dot(q, ba) + F.col("_s") * F.col("_s") * F.col("length") * F.col("length") <= F.col("_r") * F.col("_r") + 1e-9)
+    near = g.select("tree_id", "i", "j", "k", *(F.col(f"{e}_{c}") for e in "pc" for c in "xyzr")).distinct()
     p = tuple((F.col(a) + 0.5) * res for a in "ijk")
     d = S.sdf_round_cone(p, V.vec("p_"), V.vec("c_"), F.col("p_r"), F.col("c_r"))
-    return g.where(d <= 0).select("tree_id", "i", "j", "k").distinct()
+    return near.where(d <= 0).select("tree_id", "i", "j", "k").distinct()
 
 
 def to_stacks(v: DataFrame) -> DataFrame:

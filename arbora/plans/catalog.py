@@ -342,7 +342,11 @@ SELECT bn.path, bn.i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS c, round(f /
 
 register("swc_roundtrip", lambda n: swc.parse(swc.to_lines(n).select(F.col("tree_id").cast("string").alias("tree_id"), F.col("id").alias("pos"), F.col("line").alias("value"))).select("tree_id", "id", "type", "x", "y", "z", "r", "pid"), CTE + f"""
 SELECT tree_id::VARCHAR AS tree_id, (id + 1)::BIGINT AS id, type::BIGINT AS type, (CASE WHEN pid = -1 THEN -1 ELSE pid + 1 END)::BIGINT AS pid, {', '.join(_r(c, c, 4) for c in 'xyzr')} FROM nodes""", 4)
-register("dfs_sort", construct.sort_nodes)
+register("dfs_sort", construct.sort_nodes, CTE + f""",
+way AS (SELECT *, [0] AS path FROM nodes WHERE pid = -1 UNION ALL SELECT n.*, list_append(w.path, -n.id) FROM way w JOIN nodes n ON n.tree_id = w.tree_id AND n.pid = w.id),
+num AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS new FROM way)
+SELECT a.tree_id, a.new::BIGINT AS id, a.type::BIGINT AS type, coalesce(p.new, -1)::BIGINT AS pid, {', '.join(_r(f'a.{c}', c) for c in 'xyzr')}
+FROM num a LEFT JOIN num p ON p.tree_id = a.tree_id AND p.id = a.pid""")
 register("link_nearest", lambda n: construct.link_nearest(n.withColumn("pid", F.when(F.col("id") % 20 == 0, -1).otherwise(F.col("pid")))))
 register("traverse", lambda n: construct.traverse(n, "double", leave=lambda r, kids: float(max(1, sum(kids)))), CTE + _DESC + """
 SELECT a.tree_id, a.up::BIGINT AS id, sum((n.n_children = 0)::INT)::DOUBLE AS value FROM anc a JOIN nc n ON a.tree_id = n.tree_id AND a.id = n.id GROUP BY ALL""")

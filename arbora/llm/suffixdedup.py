@@ -203,8 +203,9 @@ def _runs(batches):
             if held and (piece is None or size + len(piece[2]) > 2 * CHUNK):
                 g, c, t, i, n, at = runs_of([p for _, _, p in held])
                 doc, off = np.array([d for d, _, _ in held]), np.array([o for _, o, _ in held])
-                cols = [keys[doc[t]], g.view(np.int64), c.view(np.int64), (i + off[t]).astype(np.int32), n.astype(np.int32), (at - i).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["k", "g", "c", "i", "n", "at"])
+                packed = (i + off[t]) << 24 | n << 12 | (at - i)  # n and at - i stay below WINDOW
+                cols = [keys[doc[t]], g.view(np.int64), c.view(np.int64), packed]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["k", "g", "c", "run"])
                 held, size = [], 0
             if piece is not None:
                 held.append(piece)
@@ -212,17 +213,18 @@ def _runs(batches):
 
 
 def _contents(batches):
-    """The bytes of every wanted run: (g, c, at, x)."""
+    """The bytes of every wanted run: (g, c, kinds, at, x)."""
     for pdf in batches:
-        g, c, at, x = [], [], [], []
+        g, c, kinds, at, x = [], [], [], [], []
         for text, want in zip(pdf.text, pdf.want):
             raw = text.encode()
             for w in want:
                 g.append(w["g"])
                 c.append(w["c"])
+                kinds.append(w["kinds"])
                 at.append(w["at"])
                 x.append(raw[w["i"] : w["i"] + w["n"] + WINDOW - 1])
-        yield pd.DataFrame({"g": g, "c": c, "at": at, "x": x})
+        yield pd.DataFrame({"g": g, "c": c, "kinds": kinds, "at": at, "x": x})
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -282,11 +284,40 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), len(p)) for p in np.split(starts, cuts)]
 
 
-def _resolve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("c", kind="stable")
-    got = resolve(list(zip(pdf["at"].tolist(), map(bytes, pdf.x))))
-    rows = [(g, c, a, n) for g, c, hit in zip(pdf.g, pdf.c, got) for a, n in _spans(hit)]
-    return pd.DataFrame(rows, columns=["g", "c", "a", "n"])
+def _resolve_sorted(batches):
+    """(g, c, a, n): the windows of every content that another of its minimizer holds, for rows in order of g, c.
+
+    A minimizer's contents (at most CROWD, and repetitions of them) follow one another; they are resolved
+    as soon as the next one begins.
+    """
+    import pyarrow as pa
+
+    now, held, rows = None, {}, ([], [], [], [])
+
+    def close():
+        if len(held) > 1:
+            for c, hit in zip(held, resolve(list(held.values()))):
+                for a, n in _spans(hit):
+                    for col, v in zip(rows, (now, c, a, n)):
+                        col.append(v)
+        held.clear()
+
+    def hand_on():
+        b = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], ["g", "c", "a", "n"])
+        for col in rows:
+            col.clear()
+        return b
+
+    for b in batches:
+        for g, c, at, x in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("g", "c", "at", "x"))):
+            if g != now:
+                close()
+                now = g
+            held[c] = (at, x)
+        if len(rows[0]) > 10_000:
+            yield hand_on()
+    close()
+    yield hand_on()
 
 
 def _window_hashes(batches):
@@ -300,28 +331,33 @@ def _window_hashes(batches):
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(k, i, n): n windows from i on, in the row with key k, that also start elsewhere (some spans twice)."""
+    """(k, i, n): n windows from i on, in the row with key k, that also start elsewhere; spans may repeat."""
     base = docs.select(row_key().alias("k"), "text")
     long_ones = base.where(F.octet_length("text") >= WINDOW)
-    runs = cut(long_ones.mapInArrow(_runs, "k long, g long, c long, i int, n int, at int"))
-    one = F.min(F.struct("k", "i", "n", "at")).alias("one")
-    kinds = runs.groupBy("g", "c").agg(F.count("*").alias("copies"), one)
-    groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
+    # most minimizers occur once; they are told apart by their counts alone, and only the rest is shuffled whole
+    found = long_ones.mapInArrow(_runs, "k long, g long, c long, run long")
+    often = cut(found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g"))
+    runs = cut(found.join(often, "g", "left_semi"))
+    kinds = runs.groupBy("g", "c").agg(F.count("*").alias("copies"), F.min(F.struct("k", "run")).alias("one"))
+    groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"))
     kinds = cut(kinds.join(groups, "g").select("g", "c", "copies", "kinds", "one"))
-    whole = kinds.where("copies > 1").select("g", "c")
     # contents of runs that share a minimizer but differ: one representative of each
-    want = kinds.where("kinds > 1").select("one.k", F.struct("g", "c", F.col("one.i").alias("i"), F.col("one.n").alias("n"), F.col("one.at").alias("at")).alias("w"), "kinds")
-    want = want.groupBy("k").agg(F.collect_list("w").alias("want"))
-    # rows that repeat give their contents again; those are one content
-    contents = want.join(long_ones, "k").select("text", "want").mapInPandas(_contents, "g long, c long, at int, x binary").dropDuplicates(["g", "c"])
-    contents = cut(contents.join(kinds.where("kinds > 1").select("g", "kinds").distinct(), "g"))
-    few = contents.where(F.col("kinds") <= CROWD).groupBy("g").applyInPandas(_resolve_group, "g long, c long, a int, n int")
-    hashed = contents.where(F.col("kinds") > CROWD).mapInPandas(_window_hashes, "g long, c long, a int, h long, off int")
+    mixed = kinds.where("kinds > 1").withColumn("run", F.col("one.run"))
+    part = lambda s, w: F.shiftright("run", s).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
+    w = F.struct("g", "c", "kinds", F.shiftright("run", 24).cast("int").alias("i"), part(12, 12).alias("n"), part(0, 12).alias("at"))
+    want = mixed.select("one.k", w.alias("w")).groupBy("k").agg(F.collect_list("w").alias("want"))
+    # rows that repeat give their contents again; those count once below
+    contents = want.join(long_ones, "k").select("text", "want").mapInPandas(_contents, "g long, c long, kinds long, at int, x binary")
+    contents = cut(contents)
+    few = contents.where(F.col("kinds") <= CROWD).repartition("g").sortWithinPartitions("g", "c").mapInArrow(_resolve_sorted, "g long, c long, a int, n int")
+    hashed = contents.where(F.col("kinds") > CROWD).dropDuplicates(["g", "c"]).mapInPandas(_window_hashes, "g long, c long, a int, h long, off int")
     twice = hashed.groupBy("g", "off", "h").agg(F.count("*").alias("m")).where("m > 1").select("g", "off", "h")
     many = hashed.join(twice, ["g", "off", "h"]).select("g", "c", "a", F.lit(1).alias("n"))
-    parts = cut(few.union(many))
-    spans = runs.join(parts.withColumnRenamed("n", "m"), ["g", "c"]).select("k", (F.col("i") + F.col("a")).alias("i"), F.col("m").alias("n"))
-    return runs.join(whole, ["g", "c"], "left_semi").select("k", "i", "n").union(spans)
+    # a content that occurs again is a repeat as a whole
+    whole = kinds.where("copies > 1").select("g", "c", F.lit(0).alias("a"), F.lit(-1).alias("n"))
+    parts = few.union(many).join(whole, ["g", "c"], "left_anti").union(whole)
+    n = F.when(F.col("m") < 0, part(12, 12)).otherwise(F.col("m"))
+    return runs.join(parts.withColumnRenamed("n", "m"), ["g", "c"]).select("k", (F.shiftright("run", 24).cast("int") + F.col("a")).alias("i"), n.alias("n"))
 
 
 def removed_bytes(i: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:

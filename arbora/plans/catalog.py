@@ -293,7 +293,7 @@ register("resample_isometric", lambda n: branching.resample_isometric(T.branches
 
 # -- populations and features ------------------------------------------------------------------------
 
-register("population_union", lambda n: population.union(n.where("tree_id % 3 = 0"), n.where("tree_id % 3 = 1")).groupBy("population").agg(F.countDistinct("tree_id").alias("n_trees"), F.count("*").alias("n_nodes")), CTE + "SELECT tree_id % 3 AS population, count(DISTINCT tree_id)::BIGINT AS n_trees, count(*)::BIGINT AS n_nodes FROM nodes WHERE tree_id % 3 < 2 GROUP BY ALL")
+register("population_union", lambda n: population.union(*(n.where(F.col("tree_id") % 3 == k) for k in range(3))).groupBy("population").agg(F.countDistinct("tree_id").alias("n_trees"), F.count("*").alias("n_nodes")), CTE + "SELECT tree_id % 3 AS population, count(DISTINCT tree_id)::BIGINT AS n_trees, count(*)::BIGINT AS n_nodes FROM nodes GROUP BY ALL")
 register("population_intersect", lambda n: population.intersect(n.where("tree_id % 2 = 0"), n.where("tree_id % 3 = 0")).groupBy("population").agg(F.countDistinct("tree_id").alias("n_trees")), CTE + "SELECT p.population, count(DISTINCT tree_id)::BIGINT AS n_trees FROM nodes, (VALUES (0::BIGINT), (1::BIGINT)) p(population) WHERE tree_id % 6 = 0 GROUP BY ALL")
 register("population_filter", lambda n: population.where(n, features.tree_summary(n).where("n_tips > 20")).groupBy("tree_id").agg(F.count("*").alias("n_nodes")), CTE + "SELECT tree_id, count(*)::BIGINT AS n_nodes FROM nc GROUP BY tree_id HAVING sum((n_children = 0)::INT) > 20")
 register("population_nth", lambda n: population.nth(n, 3).groupBy("tree_id").agg(F.count("*").alias("n_nodes")), CTE + "SELECT tree_id, count(*)::BIGINT AS n_nodes FROM nodes WHERE tree_id = (SELECT DISTINCT tree_id FROM nodes ORDER BY tree_id LIMIT 1 OFFSET 3) GROUP BY tree_id")
@@ -350,7 +350,7 @@ FROM num a LEFT JOIN num p ON p.tree_id = a.tree_id AND p.id = a.pid""")
 register("link_nearest", lambda n: construct.link_nearest(n.withColumn("pid", F.when(F.col("id") % 20 == 0, -1).otherwise(F.col("pid")))))
 register("traverse", lambda n: construct.traverse(n, "double", leave=lambda r, kids: float(max(1, sum(kids)))), CTE + _DESC + """
 SELECT a.tree_id, a.up::BIGINT AS id, sum((n.n_children = 0)::INT)::DOUBLE AS value FROM anc a JOIN nc n ON a.tree_id = n.tree_id AND a.id = n.id GROUP BY ALL""")
-_CLOUD = lambda n: n.where("tree_id % 5 = 0").select(F.col("tree_id").alias("cloud_id"), F.col("id").alias("pos"), "x", "y", "z")
+_CLOUD = lambda n: n.select(F.col("tree_id").alias("cloud_id"), F.col("id").alias("pos"), "x", "y", "z")
 register("mst", lambda n: construct.minimum_spanning_tree(_CLOUD(n)))
 register("cuntz_mst", lambda n: construct.points_to_tree(_CLOUD(n)))
 register("lines_to_tree", lambda n: construct.lines_to_tree(T.branches(n).select("tree_id", F.col("branch_id").alias("line_id"), "pos", "type", "x", "y", "z", "r")))

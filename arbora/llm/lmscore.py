@@ -181,7 +181,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocab: int = VO
     wanted = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("_wanted", F.lit(True))
     wanted = cut(wanted)
     words = vocabulary(docs, vocab)
-    flagged = docs.select("doc_id", "text").join(wanted, "doc_id", "left")
+    # the list of wanted ids grows with the corpus, so it is never broadcast
+    flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left")
     everything, some = pair_counts(flagged.select("text", F.coalesce("_wanted", F.lit(False)).alias("target")), words)
     loss = log_model(everything)
     loss -= log_model(some)

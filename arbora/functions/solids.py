@@ -79,7 +79,7 @@ def sphere_frustum_union(r1: Column, r2: Column, h: Column) -> Column:
     return sphere_volume(r1) + frustum_volume(r1, r2, h) - sphere_frustum_volume(r1, r2, h)
 
 
-# -- signed distances --------------------------------------------------------------------------------
+# Section: signed distances
 
 
 def sdf_sphere(p: V.Vec, center: V.Vec, radius) -> Column:
@@ -87,33 +87,46 @@ def sdf_sphere(p: V.Vec, center: V.Vec, radius) -> Column:
 
 
 def sdf_frustum(p: V.Vec, a: V.Vec, b: V.Vec, ra: Column, rb: Column) -> Column:
-    """Distance to a capped cone with end points a, b (which differ) and radii ra, rb."""
-    ba, pa = V.sub(b, a), V.sub(p, a)
-    baba, rba = V.dot(ba, ba), rb - ra
-    along = F.try_divide(V.dot(pa, ba), baba)
-    x = F.sqrt(F.greatest(V.dot(pa, pa) - along * along * baba, F.lit(0.0)))
-    cax = F.greatest(F.lit(0.0), x - F.when(along < 0.5, ra).otherwise(rb))
-    cay = F.abs(along - 0.5) - 0.5
-    f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rba * (x - ra) + along * baba) / (rba * rba + baba)))
-    cbx, cby = x - ra - f * rba, along - f
-    near = F.sqrt(F.least(cax * cax + cay * cay * baba, cbx * cbx + cby * cby * baba))
-    return F.when((cbx < 0) & (cay < 0), -near).otherwise(near)
+    """Distance to a capped cone with end points a, b (which differ) and radii ra, rb.
+
+    In the half plane through the axis: the nearer of a cap and the slanted side, negative inside.
+    """
+    axis, to = V.sub(b, a), V.sub(p, a)
+    size, grow = V.dot(axis, axis), rb - ra
+    share = F.try_divide(V.dot(to, axis), size)
+    off = F.sqrt(F.greatest(V.dot(to, to) - size * share * share, F.lit(0.0)))
+    beyond = F.greatest(F.lit(0.0), off - F.when(share < 0.5, ra).otherwise(rb))
+    above = F.abs(share - 0.5) - 0.5
+    foot = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((off - ra) * grow + share * size) / (size + grow * grow)))
+    side, along = off - (ra + foot * grow), share - foot
+    caps = F.pow(beyond, F.lit(2)) + size * F.pow(above, F.lit(2))
+    slant = F.pow(side, F.lit(2)) + size * F.pow(along, F.lit(2))
+    near = F.sqrt(F.least(caps, slant))
+    return F.when((side < 0) & (above < 0), -near).otherwise(near)
 
 
 def sdf_round_cone(p: V.Vec, a: V.Vec, b: V.Vec, ra: Column, rb: Column) -> Column:
-    """Distance to the hull of two spheres; where their centres meet, to the larger of them."""
-    ba, pa = V.sub(b, a), V.sub(p, a)
-    l2, rr = V.dot(ba, ba), ra - rb
-    a2, il2 = l2 - rr * rr, F.try_divide(F.lit(1.0), l2)
-    y = V.dot(pa, ba)
-    z = y - l2
-    w = V.sub(V.scaled(pa, l2), V.scaled(ba, y))
-    x2, y2, z2 = V.dot(w, w), y * y * l2, z * z * l2
-    k = F.signum(rr) * rr * rr * x2
-    side = (F.sqrt(F.greatest(x2 * a2 * il2, F.lit(0.0))) + y * rr) * il2 - ra
-    end_b, end_a = F.sqrt(x2 + z2) * il2 - rb, F.sqrt(x2 + y2) * il2 - ra
-    cone = F.when(F.signum(y) * a2 * y2 < k, end_a).when(F.signum(z) * a2 * z2 > k, end_b).otherwise(side)
-    return F.when((l2 == 0) | (a2 <= 0), F.least(sdf_sphere(p, a, ra), sdf_sphere(p, b, rb))).otherwise(cone)
+    """Distance to the hull of two spheres; where one holds the other or their centres meet, to both.
+
+    A point belongs to the sphere at a, to that at b or to the tangent cone between them, by where it
+    lies along the axis against the slope of the cone.
+    """
+    axis, to = V.sub(b, a), V.sub(p, a)
+    size, fall = V.dot(axis, axis), ra - rb
+    reach = size - fall * fall
+    before = V.dot(to, axis)
+    after = before - size
+    across = V.sub(V.scaled(to, size), V.scaled(axis, before))
+    wide = V.dot(across, across)
+    from_a, from_b = size * before * before, size * after * after
+    tilt = F.signum(fall) * wide * fall * fall
+    per = F.try_divide(F.lit(1.0), size)
+    at_a = per * F.sqrt(wide + from_a) - ra
+    at_b = per * F.sqrt(wide + from_b) - rb
+    between = per * (before * fall + F.sqrt(F.greatest(per * reach * wide, F.lit(0.0)))) - ra
+    cone = F.when(reach * from_a * F.signum(before) < tilt, at_a).when(reach * from_b * F.signum(after) > tilt, at_b).otherwise(between)
+    apart = (size > 0) & (reach > 0)
+    return F.when(apart, cone).otherwise(F.least(sdf_sphere(p, a, ra), sdf_sphere(p, b, rb)))
 
 
 def sdf_union(*d: Column) -> Column:

@@ -115,7 +115,7 @@ def padded(values: Column, n: int, fill: float = 0.0) -> Column:
     return F.slice(F.concat(values, more), 1, n)
 
 
-# -- matrices ----------------------------------------------------------------------------------------
+# Section: matrices
 
 
 def identity() -> Matrix:
@@ -130,15 +130,17 @@ def matmul(*ms: Matrix) -> Matrix:
     return out
 
 
-def scale3d(sx: float, sy: float, sz: float) -> Matrix:
+def scale3d(*k: float) -> Matrix:
+    """Scaling by kx, ky, kz."""
     m = identity()
-    m[0][0], m[1][1], m[2][2] = float(sx), float(sy), float(sz)
+    m[0][0], m[1][1], m[2][2] = map(float, k)
     return m
 
 
-def translate3d(tx: float, ty: float, tz: float) -> Matrix:
+def translate3d(*d: float) -> Matrix:
+    """Shift by dx, dy, dz."""
     m = identity()
-    m[0][3], m[1][3], m[2][3] = float(tx), float(ty), float(tz)
+    m[0][3], m[1][3], m[2][3] = map(float, d)
     return m
 
 
@@ -179,8 +181,9 @@ def model_view(position: Sequence[float], look_at: Sequence[float], up: Sequence
     g, t = unit(look_at), unit(up)
     e = list(position)
     side = [g[1] * t[2] - g[2] * t[1], g[2] * t[0] - g[0] * t[2], g[0] * t[1] - g[1] * t[0]]
-    rows = [[*side, 0.0], [*t, 0.0], [-g[0], -g[1], -g[2], 0.0], [0.0, 0.0, 0.0, 1.0]]
-    return matmul(rows, translate3d(-e[0], -e[1], -e[2]))
+    turn = identity()
+    turn[0][:3], turn[1][:3], turn[2][:3] = side, t, [-v for v in g]
+    return matmul(turn, translate3d(-e[0], -e[1], -e[2]))
 
 
 def orthographic() -> Matrix:
@@ -193,7 +196,7 @@ def orthographic() -> Matrix:
 def apply(m: Matrix, p: Vec) -> Vec:
     """The point p moved by a matrix, divided by w where the last row is not (0, 0, 0, 1)."""
     rows = [p[0] * r[0] + p[1] * r[1] + p[2] * r[2] + F.lit(float(r[3])) for r in m]
-    if list(map(float, m[3])) == [0.0, 0.0, 0.0, 1.0]:
+    if m[3] == identity()[3]:
         return rows[0], rows[1], rows[2]
     return tuple(F.try_divide(v, rows[3]) for v in rows[:3])
 

@@ -134,7 +134,7 @@ def spanning_tree(points: np.ndarray, bf: float = 0.0, furcations: int = 2, excl
     return pid
 
 
-def points_to_tree(clouds: DataFrame, bf: float = 0.4, furcations: int = 2, exclude_soma: bool = True, sort: bool = True) -> DataFrame:
+def points_to_tree(clouds: DataFrame, bf: float = 0.4, *, sort: bool = True, exclude_soma: bool = True, furcations: int = 2) -> DataFrame:
     """Node tables of point clouds (cloud_id, pos, x, y, z): the first point is the soma, all radii are 1.
 
     bf balances total length against path length (0: a minimum spanning tree).
@@ -152,7 +152,7 @@ def points_to_tree(clouds: DataFrame, bf: float = 0.4, furcations: int = 2, excl
 
 
 def minimum_spanning_tree(clouds: DataFrame, furcations: int = 2, exclude_soma: bool = True) -> DataFrame:
-    return points_to_tree(clouds, 0.0, furcations, exclude_soma)
+    return points_to_tree(clouds, 0.0, furcations=furcations, exclude_soma=exclude_soma)
 
 
 def assemble(lines: list[pd.DataFrame], thre: float = 0.2, undirected: bool = True) -> pd.DataFrame:

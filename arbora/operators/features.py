@@ -86,7 +86,7 @@ def branch_angles(nodes: DataFrame, eps: float = 1e-7) -> DataFrame:
     return p.join(q, "tree_id").select("tree_id", "branch_a", "branch_b", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).alias("angle"))
 
 
-# -- Sholl -------------------------------------------------------------------------------------------
+# Section: Sholl
 
 
 def sholl_edges(nodes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def sholl_statistics(nodes: DataFrame, steps: int = 20) -> DataFrame:
     return sholl(nodes, steps).groupBy("tree_id").agg(F.avg("crossings").alias("avg"), F.stddev_pop("crossings").alias("std"), F.sum("crossings").alias("sum"))
 
 
-# -- registry ----------------------------------------------------------------------------------------
+# Section: registry
 
 
 def _nodes_where(cond: str) -> Callable[[DataFrame], DataFrame]:

@@ -44,7 +44,7 @@ def map_stacks(images: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> Dat
     return images.select("path", "shape", "dtype", "data").mapInPandas(run, SCHEMA)
 
 
-# -- statistics ----------------------------------------------------------------------------------------
+# Section: statistics
 
 
 def contrasts(v: DataFrame, foreground: Column | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def folder_statistics(v: DataFrame) -> DataFrame:
     return per.agg(F.max("_n").alias("count"), F.min("_lo").alias("minimum"), F.max("_hi").alias("maximum"), (F.sum("_s") / F.sum("_n")).alias("mean"), F.avg("_var").alias("variance"))
 
 
-# -- point-wise ----------------------------------------------------------------------------------------
+# Section: point-wise
 
 
 def scale(v: DataFrame, k: float) -> DataFrame:
@@ -128,7 +128,7 @@ def center_crop(v: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     return j.select(*v.columns)
 
 
-# -- whole stacks --------------------------------------------------------------------------------------
+# Section: whole stacks
 
 
 def sigmoid(a: np.ndarray, sigma: float = 3.0, percentile: float = 25.0) -> np.ndarray:
@@ -176,8 +176,8 @@ def high_pass(a: np.ndarray) -> np.ndarray:
     """Without frequencies nearer to zero than a quarter of the depth."""
     h, w, d = a.shape[:3]
     f = np.fft.fftshift(np.fft.fftn(a))
-    x, y, z = np.ogrid[:h, :w, :d]
-    far = np.sqrt((x - h / 2) ** 2 + (y - w / 2) ** 2 + (z - d / 2) ** 2) > d // 4
+    off = [(np.arange(n) - n / 2) ** 2 for n in (h, w, d)]
+    far = np.sqrt(off[0][:, None, None] + off[1][:, None] + off[2]) > d // 4
     return np.clip(np.real(np.fft.ifftn(np.fft.ifftshift(f * far[..., None]))), 0, 255).astype(np.uint8)
 
 
@@ -204,10 +204,11 @@ def augmentation_schedule(n: int, k: int, seed: int = 0, include_identity: bool
     methods = np.arange(-1 if include_identity else 0, len(AUGMENTATIONS))
     if k > len(methods):
         raise ValueError("more augmentations than methods")
-    return np.stack([np.repeat(np.arange(n), k), np.concatenate([rng.choice(methods, k, replace=False) for _ in range(n)])]) if n else np.zeros((2, 0), int)
+    drawn = [rng.choice(methods, k, replace=False) for _ in range(n)]
+    return np.array([np.arange(n).repeat(k), np.concatenate(drawn)]) if n else np.zeros((2, 0), int)
 
 
-# -- rasterisation -------------------------------------------------------------------------------------
+# Section: rasterisation
 
 
 def voxelise(nodes: DataFrame, resolution: float = 1.0) -> DataFrame:

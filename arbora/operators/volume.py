@@ -11,7 +11,7 @@ from ..functions import solids as S
 from ..functions import vector as V
 from . import topology as T
 
-ACCURACY = {"low": 3, "middle": 5, "high": 8}
+ACCURACY = dict(zip(("low", "middle", "high"), (3, 5, 8)))
 
 
 def tree_volume(nodes: DataFrame, accuracy: int | str = "middle", samples: int = 20_000, seed: int = 0) -> DataFrame:

@@ -7,7 +7,6 @@ from __future__ import annotations
 import gzip
 import io
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -310,9 +309,9 @@ def write_tiff(images: DataFrame, folder: str, dtype: str | None = None, compres
     images.foreachPartition(save)
 
 
-# -- tiled pyramids ------------------------------------------------------------------------------------
+# Section: tiled pyramids
 
-_LEVEL = re.compile(r"RES\((\d+)x(\d+)x(\d+)\)")
+_LEVEL = r"RES\(" + "x".join([r"(\d+)"] * 3) + r"\)"
 
 
 def tile_table(spark: SparkSession, root: str) -> DataFrame:
@@ -321,7 +320,7 @@ def tile_table(spark: SparkSession, root: str) -> DataFrame:
     Folders are RES(YxXxZ)/y/y_x/y_x_z.ext with offsets in tenths of a voxel of the level.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    res = r"RES\((\d+)x(\d+)x(\d+)\)"
+    res = _LEVEL
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     at = lambda i: F.regexp_extract("path", res, i).cast("int")
     off = lambda i: F.floor(F.element_at(F.split(name, "_"), i).cast("double") / 10).cast("int")

@@ -21,7 +21,8 @@ from ..operators import surgery
 from ..operators import topology as T
 from ..schema import EXTENDED
 
-_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+#: A decimal number, in any of its usual spellings.
+_NUMBER = r"[-+]?(?=\.?\d)\d*\.?\d*(?:[Ee][-+]?\d+)?"
 _FIELDS = ["id", "type", "x", "y", "z", "r", "pid"]
 
 
@@ -170,7 +171,7 @@ def find_swcs(spark: SparkSession, root: str, ext: str = ".swc", relative: bool
     return f
 
 
-# -- the same as a named data source -------------------------------------------------------------------
+# Section: the same as a named data source
 
 
 class _Files(InputPartition):
@@ -198,7 +199,7 @@ class _Reader(DataSourceReader):
         for path in partition.files:
             with open(path, encoding=self.options.get("encoding", "utf-8-sig")) as f:
                 for k, line in enumerate(f, 1):
-                    body = line.split("#", 1)[0].strip()
+                    body = line.partition("#")[0].strip()
                     if not body:
                         continue
                     m = rx.match(body)
@@ -226,8 +227,8 @@ class _Writer(DataSourceWriter):
         for r in rows:
             path = os.path.join(self.folder, r["name"] + self.suffix)
             part = f"{path}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r["text"])
+            with open(part, "wb") as f:
+                f.write(r["text"].encode())
             os.replace(part, path)  # a task that runs again leaves the same file
             files.append(path)
         return _Message(files)

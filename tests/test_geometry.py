@@ -20,7 +20,7 @@ def lit(x):
 
 def test_matrices():
     q = V.rotate3d((0, 0, 2), math.pi / 2)
-    assert np.allclose(np.array(q) @ [1, 0, 0, 1], [0, 1, 0, 1])
+    assert np.allclose(np.array(q) @ [3, 0, 0, 1], [0, 3, 0, 1])
     m = V.matmul(V.translate3d(1, 2, 3), V.scale3d(2, 2, 2))
     assert np.allclose(np.array(m) @ [1, 1, 1, 1], [3, 4, 5, 1])
     with pytest.raises(ValueError):
@@ -118,13 +118,13 @@ def test_lmeasure(fork):
 def test_construction(spark, fork):
     s = construct.sort_nodes(fork).orderBy("id").collect()
     assert [(r.pid, r.x, r.y) for r in s] == [(-1, 0, 0), (0, 0, 0), (1, 3, 0), (2, 6, 0), (1, 0, 4)]
-    pts = np.array([[0.0, 0, 0], [1, 0, 0], [2, 0, 0], [0, 5, 0]])
+    pts = np.array([[0.0] * 3, [1, 0, 0], [2.5, 0, 0], [0, 5, 0]])
     assert construct.spanning_tree(pts).tolist() == [-1, 0, 1, 0]
     star = np.array([[0.0, 0, 0], [10, 0, 0], [10, 1, 0], [10, -1, 0], [11, 0, 0]])
     assert np.bincount(construct.spanning_tree(star, furcations=2)[1:], minlength=5).max() <= 2
     # a high balancing factor makes all hang on the root
     assert construct.spanning_tree(pts, bf=9.0).tolist() == [-1, 0, 0, 0]
-    a, c = construct.enclosing_ellipsoid(np.array([[0.0, 0], [1, 0], [0, 1], [1, 1]]))
+    a, c = construct.enclosing_ellipsoid(np.array([[0.0, 0], [0, 1], [1, 1], [1, 0]]))
     assert np.allclose(c, 0.5, atol=1e-3) and construct.ellipse_of(a)["a"] == pytest.approx(math.sqrt(0.5), rel=1e-2)
     lines = [("t", 0, p, 2, float(p), 0.0, 0.0, 1.0) for p in range(3)] + [("t", 1, p, 2, 2.0, float(2 - p), 0.0, 1.0) for p in range(3)]
     df = spark.createDataFrame(lines, "tree_id string, line_id int, pos int, type int, x double, y double, z double, r double")

@@ -375,7 +375,7 @@ class Encoder:
                 return got
         return self.unit(unit)
 
-    # -- the scan over chunks -------------------------------------------------------------------
+    # Section: the scan over chunks
 
     def _at(self, text: str, e: int) -> list[tuple[int, int]]:
         """(start, symbol) of the pieces of ``text`` that end at e; an unknown character is one, too."""
@@ -457,7 +457,7 @@ class Encoder:
         return self._ids(text, symbols)
 
 
-    # -- one chunk of a giant text -------------------------------------------------------------------
+    # Section: one chunk of a giant text
 
     @staticmethod
     def place(piece: str, cut: int, edge: bool, look: int = LOOK) -> tuple[int, bool]:

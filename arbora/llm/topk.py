@@ -121,8 +121,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     all_rb = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb")
     grid = lambda d: d.groupBy("qb", "rb").cogroup(c.groupBy("qb", "rb"))
     lists = grid(q.select("vec_id", "v", "qb", all_rb)).applyInPandas(_gather(k), "query_id long, scores array<long>")
-    found = lists.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), k, 1).alias("kth"))
-    cutoff = found.select(F.col("query_id").alias("vec_id"), F.get("kth", F.lit(0)).cast("double").alias("cutoff")).distinct()
+    # the k best of a query are kept before and after its lists meet, so no task gathers them all
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    best = lists.select("query_id", F.explode("scores").alias("score")).withColumn("place", place).where(F.col("place") <= k)
+    found = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    cutoff = found.where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double").alias("cutoff"))
     with_cut = cut(q.join(cutoff, "vec_id", "left").select("vec_id", "v", "qb", "cutoff"))
     kept = grid(with_cut.select("vec_id", "v", "qb", "cutoff", all_rb)).applyInPandas(_collect(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -54,7 +54,7 @@ def _big(*names: str) -> str:
 
 NODE = "tree_id, " + _big("id", "type", "pid") + ", " + ", ".join(_r(c, c) for c in "xyzr")
 
-# -- plain table queries -----------------------------------------------------------------------------
+# Section: plain table queries
 
 register("tree_summary", features.tree_summary, CTE + f"""
 SELECT tree_id, count(*)::BIGINT AS n_nodes, sum((pid <> -1)::INT)::BIGINT AS n_edges, sum((n_children = 0)::INT)::BIGINT AS n_tips,
@@ -130,7 +130,7 @@ h AS (SELECT c.tree_id, c.id, c.px - g.px AS ax, c.py - g.py AS ay, c.pz - g.pz
 SELECT tree_id, id::BIGINT AS id, round(((ay * bz - az * by_) * cx + (az * bx - ax * bz) * cy + (ax * by_ - ay * bx) * cz)
   / nullif(3 * sqrt(ax*ax + ay*ay + az*az) * sqrt(bx*bx + by_*by_ + bz*bz) * sqrt(cx*cx + cy*cy + cz*cz), 0), 6) + 0.0 AS helix FROM h""")
 
-# -- geometry ----------------------------------------------------------------------------------------
+# Section: geometry
 
 
 def _affine_sql(m: V.Matrix, root: bool) -> str:
@@ -152,7 +152,7 @@ register("affine_origin", geometry.translate_origin, CTE + f"SELECT n.tree_id, n
 register("normalise", geometry.normalise, CTE + "SELECT tree_id, " + _big("id", "type", "pid") + ", " + ", ".join(_r(f"({c} - min({c}) OVER w) / nullif(max({c}) OVER w, 0)", c) for c in "xyzr") + " FROM nodes WINDOW w AS (PARTITION BY tree_id)")
 register("radius_reset", lambda n: geometry.reset_radius(n, 2.5), CTE + f"SELECT tree_id, {_big('id', 'type', 'pid')}, {', '.join(_r(c, c) for c in 'xyz')}, 2.5::DOUBLE AS r FROM nodes")
 
-# -- volumes and signed distances --------------------------------------------------------------------
+# Section: volumes and signed distances
 
 _LENS = "CASE WHEN step > r + pr THEN 0.0 WHEN step <= abs(r - pr) THEN 4.0 / 3 * pi() * least(r, pr) ** 3 ELSE pi() / (12 * step) * (r + pr - step) ** 2 * (step ** 2 + 2 * step * r - 3 * r ** 2 + 2 * step * pr - 3 * pr ** 2 + 6 * r * pr) END"
 
@@ -197,7 +197,7 @@ SELECT tree_id, id::BIGINT AS id, round(CASE
   WHEN sign(zz) * a2 * zz * zz * bb > sign(rr) * rr * rr * x2 THEN sqrt(x2 + zz * zz * bb) / bb - r
   ELSE (sqrt(x2 * a2 / bb) + yy * rr) / bb - pr END, 6) + 0.0 AS distance FROM rc""")
 
-# -- walks along parents -----------------------------------------------------------------------------
+# Section: walks along parents
 
 register("checks", T.checks, CTE + """
 SELECT tree_id, sum((pid = -1)::INT)::BIGINT AS n_components, bool_and(n_children <= 2 OR pid = -1) AS bifurcate, bool_and(n_children <= 2) AS bifurcate_with_root,
@@ -251,7 +251,7 @@ b AS (SELECT n.tree_id - 1 AS tree_id, n.id + h.hi + 1 AS id, n.type, n.x + s.x
       FROM nodes n JOIN hi h ON h.tree_id = n.tree_id - 1 JOIN a s ON s.tree_id = n.tree_id - 1 AND s.id = 0 JOIN nodes o ON o.tree_id = n.tree_id AND o.id = 0 WHERE n.tree_id % 2 = 1 AND n.id <> 0)
 SELECT {NODE} FROM (SELECT * FROM a UNION ALL SELECT tree_id, id, type, x, y, z, r, pid FROM b)""")
 
-# -- branches ----------------------------------------------------------------------------------------
+# Section: branches
 
 register("branches", lambda n: T.branches(n).select("tree_id", "branch_id", "pos", "id"), CTE + BRANCH + f"SELECT tree_id, {_big('branch_id', 'pos', 'id')} FROM bn")
 register("paths", lambda n: T.paths(n), CTE + WALK + _DESC + "SELECT a.tree_id, a.id::BIGINT AS path_id, w.depth AS pos, a.up::BIGINT AS id FROM anc a JOIN nc n ON n.tree_id = a.tree_id AND n.id = a.id AND n.n_children = 0 JOIN walk w ON w.tree_id = a.tree_id AND w.id = a.up")
@@ -291,7 +291,7 @@ _AT = "SELECT sp.tree_id, sp.branch_id::BIGINT AS branch_id, k AS pos, " + ", ".
 register("resample_linear", lambda n: branching.resample_linear(T.branches(n), 9), CTE + _SAMPLED.format(at="k * length / 8", count="9").replace("range(0, 1000000)", "range(0, 9)") + _AT)
 register("resample_isometric", lambda n: branching.resample_isometric(T.branches(n), 20.0), CTE + _SAMPLED.format(at="k * length / ceil(length / 20 - 1e-12)", count="ceil(length / 20 - 1e-12) + 1").replace("range(0, 1000000)", "range(0, 2000)") + _AT)
 
-# -- populations and features ------------------------------------------------------------------------
+# Section: populations and features
 
 register("population_union", lambda n: population.union(*(n.where(F.col("tree_id") % 3 == k) for k in range(3))).groupBy("population").agg(F.countDistinct("tree_id").alias("n_trees"), F.count("*").alias("n_nodes")), CTE + "SELECT tree_id % 3 AS population, count(DISTINCT tree_id)::BIGINT AS n_trees, count(*)::BIGINT AS n_nodes FROM nodes GROUP BY ALL")
 register("population_intersect", lambda n: population.intersect(n.where("tree_id % 2 = 0"), n.where("tree_id % 3 = 0")).groupBy("population").agg(F.countDistinct("tree_id").alias("n_trees")), CTE + "SELECT p.population, count(DISTINCT tree_id)::BIGINT AS n_trees FROM nodes, (VALUES (0::BIGINT), (1::BIGINT)) p(population) WHERE tree_id % 6 = 0 GROUP BY ALL")
@@ -303,7 +303,7 @@ v AS (SELECT rd FROM rad WHERE rd <> 0), m AS (SELECT min(rd) AS a, (max(rd) - m
 SELECT 'node_radial_distance' AS feature, b AS bin, round(a + b * w, 6) + 0.0 AS low, round(a + b * w + w, 6) + 0.0 AS high, count(rd)::BIGINT AS n
 FROM m CROSS JOIN range(0, 20) g(b) LEFT JOIN v ON least(floor((rd - a) / w), 19) = b GROUP BY a, w, b""")
 
-# -- images: every embedding is a stack of one row of voxels -------------------------------------------
+# Section: images: every embedding is a stack of one row of voxels
 
 
 def register_voxels(name: str, plan: Callable[[DataFrame], DataFrame], sql: str, digits: int = 6) -> None:
@@ -338,7 +338,7 @@ cd AS (SELECT p.path, g.b, sum(coalesce(h.c, 0)) OVER (PARTITION BY p.path ORDER
 cn AS (SELECT *, coalesce(lead(f) OVER (PARTITION BY path ORDER BY b), f) AS g FROM cd)
 SELECT bn.path, bn.i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS c, round(f / n + CASE WHEN bn.b < 31 THEN least(pos - bn.b, 1) * (g / n - f / n) ELSE 0 END, 5) + 0.0 AS v FROM bn JOIN cn ON cn.path = bn.path AND cn.b = bn.b""", 5)
 
-# -- whole-tree operators and formats ------------------------------------------------------------------
+# Section: whole-tree operators and formats
 
 register("swc_roundtrip", lambda n: swc.parse(swc.to_lines(n).select(F.col("tree_id").cast("string").alias("tree_id"), F.col("id").alias("pos"), F.col("line").alias("value"))).select("tree_id", "id", "type", "x", "y", "z", "r", "pid"), CTE + f"""
 SELECT tree_id::VARCHAR AS tree_id, (id + 1)::BIGINT AS id, type::BIGINT AS type, (CASE WHEN pid = -1 THEN -1 ELSE pid + 1 END)::BIGINT AS pid, {', '.join(_r(c, c, 4) for c in 'xyzr')} FROM nodes""", 4)
@@ -364,7 +364,7 @@ register("floret_share", lambda n: construct.length_share(n, construct.florets(n
 SELECT p.tree_id, 2::BIGINT AS start, {_r('sum(CASE WHEN p.id > 2 AND a.up = 2 THEN p.step END) / (SELECT sum(q.step) FROM par q WHERE q.tree_id = p.tree_id)', 'share')}
 FROM par p JOIN anc a ON a.tree_id = p.tree_id AND a.id = p.id AND a.up = 2 AND p.id <> 2 GROUP BY p.tree_id""")
 
-# -- graphs and views ----------------------------------------------------------------------------------
+# Section: graphs and views
 
 register("graph_edges", lambda n: graphs.to_graph(n, bidirected=True)[0], CTE + "SELECT tree_id, pid::BIGINT AS src, id::BIGINT AS dst FROM nodes WHERE pid <> -1 UNION ALL SELECT tree_id, id, pid FROM nodes WHERE pid <> -1")
 register("matrix_product", lambda n: graphs.product(graphs.edge_distances(n), T.adjacency(n)), CTE + f"SELECT a.tree_id, a.pid::BIGINT AS i, b.id::BIGINT AS j, {_r('sum(a.step)', 'v')} FROM par a JOIN par b ON a.tree_id = b.tree_id AND b.pid = a.id WHERE a.pid <> -1 GROUP BY ALL")

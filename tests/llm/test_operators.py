@@ -42,7 +42,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# -- 1: line dedup ------------------------------------------------------------------------------------
+# Section: 1: line dedup
 
 
 def test_patience_keeps_order_and_finds_blocks():
@@ -78,7 +78,7 @@ def test_line_dedup(docs, corpus, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
-# -- 2: language-model scores -------------------------------------------------------------------------
+# Section: 2: language-model scores
 
 
 def test_cross_entropy_difference(spark, docs, corpus, empty):
@@ -110,7 +110,7 @@ def test_cross_entropy_difference(spark, docs, corpus, empty):
     assert lmscore.cross_entropy_difference(empty, target).count() == 0
 
 
-# -- 3: exact top-k -----------------------------------------------------------------------------------
+# Section: 3: exact top-k
 
 
 def test_top_k_is_exact_with_ties(spark, monkeypatch):
@@ -133,7 +133,7 @@ def test_top_k_is_exact_with_ties(spark, monkeypatch):
     assert topk.top_k(few.where("false"), few, 5).count() == 0
 
 
-# -- 4: SentencePiece ---------------------------------------------------------------------------------
+# Section: 4: SentencePiece
 
 HARD = ["", " ", "  a", "a  b   c ", "日本語 and 한국 ☃ 🎉", "x" * 500, "\n\n a\tb\r\n", "<0x41> <s>", "ab" * 700, "the quick brown fox " * 200]
 
@@ -182,7 +182,7 @@ def test_encode_column(docs, corpus, empty):
     assert pieces.encode_column(empty).columns[-1] == "tokens" and pieces.encode_column(empty).count() == 0
 
 
-# -- 5: URLs ------------------------------------------------------------------------------------------
+# Section: 5: URLs
 
 
 def test_urls(spark):
@@ -206,7 +206,7 @@ def test_markov_is_a_distribution():
     assert np.allclose(np.exp(m.log).reshape(-1, urls.SYMBOLS).sum(1), 1, atol=1e-4)
 
 
-# -- 6: SimHash ---------------------------------------------------------------------------------------
+# Section: 6: SimHash
 
 
 def brute_fingerprint(text):
@@ -255,7 +255,7 @@ def test_drop_near_duplicates(docs, corpus, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
-# -- 7: WebP ------------------------------------------------------------------------------------------
+# Section: 7: WebP
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"a" * 64, b"ab" * 32, bytes(range(256)), "é日本".encode() * 99, bytes(64)])
@@ -432,7 +432,7 @@ def test_webp_damage_is_an_error():
             webp.decode(bad)
 
 
-# -- 8: suffix arrays ---------------------------------------------------------------------------------
+# Section: 8: suffix arrays
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -469,7 +469,7 @@ def test_repeats_by_brute_force(spark, monkeypatch):
     assert suffixdedup.dedup_substrings(df.where("false")).count() == 0
 
 
-# -- 9: toxicity --------------------------------------------------------------------------------------
+# Section: 9: toxicity
 
 
 def test_isotonic_and_trees():
@@ -507,7 +507,7 @@ def test_toxicity_held_out(spark):
     assert toxicity.with_scores(docs.where("false"), scorer).count() == 0
 
 
-# -- 10: mixing ---------------------------------------------------------------------------------------
+# Section: 10: mixing
 
 
 def test_targets_fill_by_weight(spark):

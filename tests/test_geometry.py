@@ -147,3 +147,14 @@ def test_populations(fork, simple):
     assert population.intersect(fork, simple).count() == 0 and population.same_keys(fork, fork)
     chain = population.Transforms(population.identity, population.Transforms(lambda n: geometry.reset_radius(n, 3.0)))
     assert len(chain) == 2 and chain(fork).first().r == 3.0
+
+
+def test_solids_put_together(spark):
+    one = lambda p: S.sdf_sphere(p, V.const((0, 0, 0)), lit(1))
+    two = lambda p: S.sdf_sphere(p, V.const((1, 0, 0)), lit(1))
+    box = (-1, -1, -1), (2, 1, 1)
+    lens, ball = 5 / 12 * math.pi, 4 / 3 * math.pi
+    size = lambda f: volume.solid_volume(spark, f, *box, samples=200_000, seed=1)
+    assert size(lambda p: S.sdf_intersection(one(p), two(p))) == pytest.approx(lens, rel=0.03)
+    assert size(lambda p: S.sdf_union(one(p), two(p))) == pytest.approx(2 * ball - lens, rel=0.03)
+    assert size(lambda p: S.sdf_difference(one(p), two(p))) == pytest.approx(ball - lens, rel=0.03)

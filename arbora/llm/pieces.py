@@ -40,7 +40,7 @@ LONG = 40
 #: How far a cut looks for a word start, and the characters kept before a chunk (above the longest piece).
 LOOK, PAD = 4096, 64
 #: Words a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 SPACE = "▁"
 _R = np.uint64(0x9E3779B97F4A7C15)
 LOW = float("-inf")
@@ -171,7 +171,6 @@ class Model:
                     a, b = self.symbol_of.get(p[:k]), self.symbol_of.get(p[k:])
                     if a is not None and b is not None:
                         pairs[a, b] = i
-            self.pairs = pairs
             m = self.longest
             self.rank = np.full((n, m), LOW, np.float32)  # score of the k-th merge inside a piece
             self.head = np.zeros((n, m), np.int32)  # first and last symbol before the k-th merge
@@ -625,43 +624,49 @@ def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look:
     return whole.mapInPandas(join, "k long, ids binary")
 
 
-def _with_ids(docs: DataFrame, path: str) -> DataFrame:
-    """docs with _ids, the packed ids of text. Columns that begin with an underscore go."""
-    keep = [c for c in docs.columns if not c.startswith("_")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+def _with_ids(docs: DataFrame, path: str, keep: list[str], finish, schema: str) -> DataFrame:
+    """The columns ``keep`` of docs and those that ``finish(ids of rows)`` makes: (names, Arrow arrays).
 
-    def run(batches):
+    Encoding and finishing share one worker, as each keeps the model in memory.
+    """
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), schema])
+
+    def rows(b, i, n, ids):
         import pyarrow as pa
 
-        enc = _encoder(path)
+        names, arrays = finish(ids)
+        return pa.RecordBatch.from_arrays([*(b.column(c).slice(i, n) for c in keep), *arrays], [*keep, *names])
+
+    def encode(batches):
         for b in batches:
             text = b.column(b.schema.get_field_index("_text"))
             for i in range(0, len(text), 1000):
-                ids = enc.encode([t or "" for t in text.slice(i, 1000).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, 1000) for n in keep), pa.array([x.tobytes() for x in ids], pa.binary())], [*keep, "_ids"])
+                yield rows(b, i, 1000, _encoder(path).encode([t or "" for t in text.slice(i, 1000).to_pylist()]))
+
+    def attach(batches):
+        for b in batches:
+            ids = [np.frombuffer(x, np.int32) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
+            yield rows(b, 0, len(ids), ids)
 
     giant = F.coalesce(F.length("text") >= CHUNK, F.lit(False))
-    small = docs.where(~giant).select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, _ids binary")
-    large = docs.where(giant).select(*keep, F.xxhash64("text").alias("_k"))
+    small = docs.where(~giant).select(*keep, F.col("text").alias("_text")).mapInArrow(encode, fields)
     ids = encode_giants(docs.where(giant).select(F.xxhash64("text").alias("k"), "text").dropDuplicates(["k"]), path)
-    return small.unionByName(large.join(ids.select(F.col("k").alias("_k"), F.col("ids").alias("_ids")), "_k").select(*keep, "_ids"))
+    large = docs.where(giant).select(*keep, F.xxhash64("text").alias("k")).join(ids, "k").mapInArrow(attach, fields)
+    return small.unionByName(large)
 
 
 def encode_column(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name goes."""
+    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name goes,
+    and so do columns that begin with an underscore."""
     keep = [c for c in docs.columns if c != "tokens" and not c.startswith("_")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
-    def run(batches):
+    def finish(ids):
         import pyarrow as pa
 
-        for b in batches:
-            ids = [np.frombuffer(x, np.int32) for x in b.column(b.schema.get_field_index("_ids")).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), tokens], [*keep, "tokens"])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return ["tokens"], [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))]
 
-    return _with_ids(docs.select(*keep), path).mapInArrow(run, f"{fields}, tokens array<int>")
+    return _with_ids(docs, path, keep, finish, "tokens array<int>")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
@@ -669,21 +674,18 @@ def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame
 
     The decoded text is that of the ids; it is the text itself, but for U+2581, which the format keeps for spaces.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches):
+    def finish(ids):
         import pyarrow as pa
 
         model = _encoder(path).m
-        for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for x in b.column(b.schema.get_field_index("_ids")).to_pylist():
-                ids = np.frombuffer(x, np.int32)
-                back = decode(model, ids.tolist())
-                for c, v in zip(cols, (len(back), len(ids), hashlib.sha256(x).hexdigest(), hashlib.sha256(back.encode()).hexdigest())):
-                    c.append(v)
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), *arrays], ["doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _with_ids(docs, path).select("doc_id", "_ids").mapInArrow(run, f"doc_id {kind}, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        back = [decode(model, x.tolist()) for x in ids]
+        return ["n_chars", "n_tokens", "ids_sha256", "decoded_sha256"], [
+            pa.array([len(t) for t in back], pa.int64()),
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+        ]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _with_ids(docs, path, ["doc_id"], finish, "n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,9 +5,12 @@ documents of a wanted kind, the background model from the whole corpus. A docume
 mean over its tokens of the target's loss minus the background's: the lower, the more it is like the
 target. Counts cover every token of the corpus; they grow with it and are combined by Spark.
 
-The vocabulary is the ``VOCAB`` most frequent words; any other word is one of 64 unknown words by its
-hash, so a model has at most (VOCAB + 65) ** 2 pairs and the table of loss differences that is
-broadcast is bounded by that (17 MB at 2,000 words), whatever the size of the corpus.
+Every word has counts of its own. Pairs of the ``VOCAB`` most frequent words (the head) are counted in a
+table that is broadcast, bounded by (VOCAB + 65) ** 2 (17 MB at 2,000 words). Every other pair has a
+rarer word in it: each occurrence of such a word is shuffled, with its neighbours and the key of its
+document, to the bucket of the word, where all counts of its pairs come together; the buckets grow in
+number with the corpus. What a document gains in each bucket is summed by its key. Words are told apart
+by 63-bit hashes. With ``vocab`` the words beyond so many are 64 unknown words by their hash instead.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, texts_of
+from .common import cut, row_key, table, texts_of
 
 VOCAB = 2000
 UNKNOWN = 64
+#: Occurrences of rarer words in a bucket, about.
+BUCKET = 1_000_000
 #: Weight of the shorter model in the mixture, in counts (Dirichlet smoothing).
 PRIOR = 50.0
 #: Distinct words or pairs a task holds before it hands its counts on.
@@ -40,6 +45,13 @@ def unknown(word: bytes) -> int:
     return xxh32_intdigest(word) % UNKNOWN
 
 
+def rare(word: bytes) -> int:
+    """Code of a word outside the head: negative, by its hash."""
+    from xxhash import xxh3_64_intdigest
+
+    return -1 - (xxh3_64_intdigest(word) >> 1)
+
+
 class _Ids(dict):
     """Word -> id; unknown words are added as they are met, up to a bound."""
 
@@ -53,6 +65,16 @@ class _Ids(dict):
         return i
 
 
+class _Codes(_Ids):
+    """Word -> id of a head word, or the code of a rarer one."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = rare(word)
+        if len(self) < 400_000:
+            self[word] = i
+        return i
+
+
 def _word_counts(batches):
     import pyarrow as pa
 
@@ -71,10 +93,14 @@ def _word_counts(batches):
     yield hand_on()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCAB) -> list[bytes]:
-    """The ``size`` most frequent words of all texts; ties by the bytes of the word."""
-    n = docs.select("text").mapInArrow(_word_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [bytes(r["w"]) for r in n.orderBy(F.desc("n"), "w").limit(size).collect()]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n) of every word of all texts."""
+    return docs.select("text").mapInArrow(_word_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, size: int = VOCAB) -> list[bytes]:
+    """The ``size`` most frequent words of (w, n); ties by the bytes of the word."""
+    return [bytes(r["w"]) for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
 
 
 def pair_codes(ids: _Ids, text: bytes, width: int) -> np.ndarray:
@@ -138,10 +164,10 @@ def pair_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nda
     return counts.sum(2), counts[:, :, 1]
 
 
-def log_model(n: np.ndarray) -> np.ndarray:
-    """log p(token | previous): pair counts mixed with token counts, those with a uniform share."""
+def log_model(n: np.ndarray, size: int | None = None) -> np.ndarray:
+    """log p(token | previous): pair counts mixed with token counts, those with a uniform share of ``size`` tokens."""
     uni = n.sum(0, dtype=np.float64)
-    uni = (uni + 1.0) / (uni.sum() + len(uni))
+    uni = (uni + 1.0) / (uni.sum() + (size or len(uni)))
     total = n.sum(1, dtype=np.float64)
     out = np.empty(n.shape, np.float32)
     for i in range(len(n)):  # row by row, to hold one table only
@@ -171,19 +197,180 @@ def score_documents(docs: DataFrame, words: list[bytes], loss: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocab: int = VOCAB) -> DataFrame:
+def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of codes of rarer words; rises with the code."""
+    return ((code + np.int64(2**62) + np.int64(2**62)) >> 43) * buckets >> 20
+
+
+def _scatter(words: list[bytes], loss: np.ndarray, buckets: int):
+    """Rows of each document with what pairs of head words give it, and packed occurrences of rarer words by bucket."""
+    width = len(loss)
+    flat = np.ascontiguousarray(loss).ravel()
+
+    def pack(held, schema):
+        import pyarrow as pa
+
+        code, before, after, key, wanted = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(code, kind="stable")  # equal words side by side, and buckets in order
+        code, before, after, key, wanted = (x[order] for x in (code, before, after, key, wanted))
+        at = _bucket(code, buckets)
+        ends = np.flatnonzero(np.diff(at)) + 1
+        cuts = list(zip([0, *ends.tolist()], [*ends.tolist(), len(at)]))
+        zstd = pa.Codec("zstd")
+        blobs, sizes, keys = [], [], []
+        for i, j in cuts:
+            docs, doc = np.unique(key[i:j], return_inverse=True)
+            parts = (code[i:j], before[i:j], after[i:j], wanted[i:j], doc.astype(np.int32), docs)
+            blobs.append(zstd.compress(b"".join(x.tobytes() for x in parts), asbytes=True))
+            sizes.append(j - i)
+            keys.append(len(docs))
+        none = lambda k: pa.nulls(len(cuts), schema.field(k).type)
+        bucket = pa.array([int(at[i]) for i, _ in cuts], pa.int32())
+        # for a packed row k is the number of its documents
+        docs = pa.array(keys, pa.int64())
+        return pa.RecordBatch.from_arrays([bucket, docs, none("doc_id"), pa.array(sizes, pa.int64()), none("s"), pa.array(blobs, pa.binary())], schema=schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids = _Codes(words)
+        held, size = [], 0
+        schema = None
+        for b in batches:
+            schema = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("n", pa.int64()), ("s", pa.float64()), ("blob", pa.binary())])
+            col = lambda c: b.column(b.schema.get_field_index(c))
+            n, s = [], []
+            for t, k, y in zip(texts_of(col("text")), col("k").to_pylist(), col("target").to_pylist()):
+                w = tokens(t)
+                n.append(len(w))
+                a = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
+                before = np.concatenate([np.zeros(1, np.int64), a[:-1]])[: len(a)]
+                both = (a > 0) & (before >= 0)
+                s.append(float(flat[before[both] * width + a[both]].sum(dtype=np.float64)))
+                tail = np.flatnonzero(a < 0)
+                if len(tail):
+                    # the next word: its id in the head, -1 beyond it, 0 at the end
+                    after = np.concatenate([np.maximum(a[1:], -1), np.zeros(1, np.int64)]).astype(np.int32)
+                    held.append((a[tail], before[tail], after[tail], np.full(len(tail), k, np.int64), np.full(len(tail), bool(y))))
+                    size += len(tail)
+                if size > BUCKET:
+                    yield pack(held, schema)
+                    held, size = [], 0
+            k = col("k")
+            spread = pa.array(np.asarray(k).astype(np.int64) % buckets, pa.int32())
+            yield pa.RecordBatch.from_arrays([spread, k, col("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.nulls(len(n), pa.binary())], schema=schema)
+        if held:
+            yield pack(held, schema)
+
+    return run
+
+
+def _unpack(blob: bytes, n: int, docs: int) -> tuple[np.ndarray, ...]:
+    import pyarrow as pa
+
+    raw = pa.Codec("zstd").decompress(blob, decompressed_size=25 * n + 8 * docs, asbytes=True)
+    out, at = [], 0
+    for kind, many in ((np.int64, n), (np.int64, n), (np.int32, n), (np.bool_, n), (np.int32, n), (np.int64, docs)):
+        out.append(np.frombuffer(raw, kind, many, at))
+        at += out[-1].nbytes
+    code, before, after, wanted, doc, key = out
+    return code, before, after, wanted, key[doc]
+
+
+def _gain(pair: np.ndarray, wanted: np.ndarray, uni: np.ndarray, uni_wanted: np.ndarray) -> np.ndarray:
+    """Of each occurrence of a pair: log of its smoothed count in the corpus less that in the wanted documents."""
+    kinds, which = np.unique(pair, return_inverse=True)
+    n = np.bincount(which, minlength=len(kinds))[which]
+    m = np.bincount(which, wanted, len(kinds))[which]
+    return np.log(n + PRIOR * uni) - np.log(m + PRIOR * uni_wanted)
+
+
+def _rare_gains(code, before, after, wanted, head_uni, head_total, sums, size) -> np.ndarray:
+    """What each occurrence of a rarer word adds to its document; all occurrences of the words have to be there."""
+    words, at = np.unique(code, return_inverse=True)
+    k = len(words)
+    n, m = np.bincount(at, minlength=k), np.bincount(at, wanted, k)
+    uni, uni_wanted = (n + 1.0) / (sums[0] + size), (m + 1.0) / (sums[1] + size)
+    kinds, which = np.unique(before, return_inverse=True)
+    out = _gain(at * len(kinds) + which, wanted, uni[at], uni_wanted[at])
+    ahead = before >= 0  # the word before is in the head (or the start), its totals are known
+    x = before[ahead]
+    out[ahead] -= np.log(head_total[0][x] + PRIOR) - np.log(head_total[1][x] + PRIOR)
+    # of each word as the one before: its total, and the pairs with a head word after it
+    goes = after != 0
+    total, total_wanted = np.bincount(at[goes], minlength=k), np.bincount(at[goes], wanted[goes], k)
+    out[goes] -= (np.log(total + PRIOR) - np.log(total_wanted + PRIOR))[at[goes]]
+    h = after > 0
+    x = after[h]
+    out[h] += _gain(at[h] * len(head_uni[0]) + x, wanted[h], head_uni[0][x], head_uni[1][x])
+    return out
+
+
+def score_all_words(flagged: DataFrame, words: list[bytes], everything: np.ndarray, some: np.ndarray, size: int, rare_tokens: int) -> DataFrame:
+    """doc_id, n_tokens and score of every row (doc_id, text, target); no word stands for another.
+
+    ``everything`` and ``some`` are the pair counts of the head ``words``; ``size`` is the number of tokens
+    that the uniform share is over.
+    """
+    loss = log_model(everything, size)
+    loss -= log_model(some, size)
+    sums = [float(x.sum(dtype=np.float64)) for x in (everything, some)]
+    head_uni = [(x.sum(0, dtype=np.float64) + 1.0) / (n + size) for x, n in zip((everything, some), sums)]
+    head_total = [x.sum(1, dtype=np.float64) for x in (everything, some)]
+    buckets = min(max(12, -(-rare_tokens // BUCKET)), 1 << 20)
+    sc = flagged.sparkSession.sparkContext
+    model, head = sc.broadcast((words, loss)), sc.broadcast((head_uni, head_total))
+    kind = dict(flagged.dtypes)["doc_id"]
+
+    def scatter(batches):
+        yield from _scatter(*model.value, buckets)(batches)
+
+    def settle(group):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        is_doc = pc.is_null(group["blob"])
+        docs, packed = group.filter(is_doc), group.filter(pc.invert(is_doc))
+        keys, gains = np.empty(0, np.int64), np.empty(0)
+        if len(packed):
+            parts = [_unpack(b.as_py(), n.as_py(), k.as_py()) for b, n, k in zip(packed["blob"], packed["n"], packed["k"])]
+            code, before, after, wanted, key = (np.concatenate(x) for x in zip(*parts))
+            del parts
+            keys, at = np.unique(key, return_inverse=True)
+            gains = np.bincount(at, _rare_gains(code, before, after, wanted, *head.value, sums, size), len(keys))
+        schema = pa.schema([("k", pa.int64()), ("doc_id", group.schema.field("doc_id").type), ("n", pa.int64()), ("s", pa.float64()), ("copies", pa.int64())])
+        one = pa.table([docs["k"], docs["doc_id"], docs["n"], docs["s"], pa.array(np.ones(len(docs), np.int64))], schema=schema)
+        two = pa.table([pa.array(keys), pa.nulls(len(keys), schema.field("doc_id").type), pa.array(np.zeros(len(keys), np.int64)), pa.array(gains), pa.array(np.zeros(len(keys), np.int64))], schema=schema)
+        return pa.concat_tables([one, two])
+
+    rows = flagged.select("doc_id", "text", "target", row_key().alias("k")).mapInArrow(scatter, f"bucket int, k long, doc_id {kind}, n long, s double, blob binary")
+    parts = rows.groupBy("bucket").applyInArrow(settle, f"k long, doc_id {kind}, n long, s double, copies long")
+    # rows with equal id and text have one key: each adds the same, so the sum is shared out
+    docs = parts.groupBy("k").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("s").alias("s"), F.sum("copies").alias("copies"))
+    score = F.when(F.col("n_tokens") > 0, F.col("s") / F.col("copies") / F.col("n_tokens")).otherwise(0.0)
+    return docs.select("doc_id", "n_tokens", score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocab: int | None = None) -> DataFrame:
     """doc_id, n_tokens, score for every row of ``docs``; ``target`` has the ids (doc_id) of wanted documents.
 
     Null and empty texts have no tokens and score 0. Null ids are scored but never wanted. If no
     document is wanted, the target model is the uniform one mixed as usual, so scores stay defined.
+    Every word counts for itself, unless ``vocab`` bounds their number.
     """
     # ids only; one row each, so the join keeps the rows of docs as they are
     wanted = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("_wanted", F.lit(True))
     wanted = cut(wanted)
-    words = vocabulary(docs, vocab)
+    counts = cut(word_counts(docs))
+    words = vocabulary(counts, VOCAB if vocab is None else vocab)
     # the list of wanted ids grows with the corpus, so it is never broadcast
     flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left")
-    everything, some = pair_counts(flagged.select("text", F.coalesce("_wanted", F.lit(False)).alias("target")), words)
+    flagged = flagged.select("doc_id", "text", F.coalesce("_wanted", F.lit(False)).alias("target"))
+    everything, some = pair_counts(flagged, words)
+    if vocab is None:
+        distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        rare_tokens = total - int(everything.sum(0, dtype=np.float64)[1 + UNKNOWN :].sum())
+        return score_all_words(flagged, words, everything, some, distinct + 1, rare_tokens)
     loss = log_model(everything)
     loss -= log_model(some)
     return score_documents(docs, words, loss)

@@ -110,6 +110,35 @@ def test_cross_entropy_difference(spark, docs, corpus, empty):
     assert lmscore.cross_entropy_difference(empty, target).count() == 0
 
 
+def test_every_word_counts_for_itself(spark, empty, monkeypatch):
+    monkeypatch.setattr(lmscore, "BUCKET", 500)
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randrange(1, 400), 6000 if i % 2 else 300)) for i in range(60)]
+    rows += [rows[3], rows[3], (60, None), (61, "only"), (None, "w1 nobody w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    seqs = [(i, ["", *(t or "").split()]) for i, t in rows]
+    n, m = [{}, {}], [{}, {}]
+    for i, s in seqs:
+        for c in [0, 1] if i is not None and i < 20 else [0]:
+            for a, b in zip(s, s[1:]):
+                n[c][a, b] = n[c].get((a, b), 0) + 1
+                for key in ((0, a), (1, b)):
+                    m[c][key] = m[c].get(key, 0) + 1
+    size = len({w for _, s in seqs for w in s[1:]}) + 1
+    assert size > lmscore.VOCAB
+
+    def loss(c, a, b):
+        uni = (m[c].get((1, b), 0) + 1) / (sum(n[c].values()) + size)
+        return -np.log((n[c].get((a, b), 0) + 50 * uni) / (m[c].get((0, a), 0) + 50))
+
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens), r.score) for r in lmscore.cross_entropy_difference(docs, target).collect())
+    want = sorted(((i is None, i or 0, len(s) - 1), np.mean([loss(1, a, b) - loss(0, a, b) for a, b in zip(s, s[1:])]) if len(s) > 1 else 0.0) for i, s in seqs)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-5)
+    assert lmscore.cross_entropy_difference(empty, target).count() == 0
+
+
 # Section: 3: exact top-k
 
 

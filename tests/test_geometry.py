@@ -70,6 +70,19 @@ def test_volumes(make_nodes):
         volume.tree_volume(chain, "best")
 
 
+def test_overlap_of_long_siblings(make_nodes):
+    # two cylinders at a right angle: a quarter of both's common body less a quarter of the sphere
+    long = make_nodes([("k", 0, 1, 0, 0, 0, 1, -1), ("k", 1, 1, 100, 100, 0, 1, 0), ("k", 2, 1, 100, -100, 0, 1, 0)])
+    for samples, rel in ((20_000, 0.12), (1_000_000, 0.02)):
+        assert volume.pair_overlaps(long, samples, 0).first().overlap == pytest.approx(4 / 3 - math.pi / 3, rel=rel)
+    # narrowing cones at an acute angle, against points drawn in a box
+    tips = np.array([[9.0, 2, 0], [9.0, -2, 1]])
+    p = np.random.default_rng(4).random((2_000_000, 3)) * [13, 10, 8] - [2, 5, 4]
+    both = volume._inside_frustum(p, np.zeros(3), tips[0], 2, 1) & volume._inside_frustum(p, np.zeros(3), tips[1], 2, 0.5) & ((p**2).sum(1) > 4)
+    got = volume._overlap(tips[0], tips[1], 2, 1, 0.5, 1_000_000, np.random.default_rng(0))
+    assert got == pytest.approx(both.mean() * 13 * 10 * 8, rel=0.03)
+
+
 def test_transforms(fork):
     r = {x.id: x for x in geometry.rotate_z(fork, math.pi / 2).collect()}
     assert (r[4].x, r[4].y) == (pytest.approx(0), pytest.approx(6))

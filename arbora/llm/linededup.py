@@ -3,12 +3,14 @@
 Documents that share a line are found through hashes of lines; a pair of them is aligned by patience
 diff over the sequences of line hashes, and blocks of aligned lines are deleted from the later one.
 
-* Pairs: of all documents that hold a line, each later one is paired with the first (a star, not all
-  pairs), so the pairs are at most as many as the lines. A later document and an earlier one form one
-  pair however many lines they share.
+* Pairs: a document whose lines equal those of an earlier one goes as a whole. Of the others, each later
+  one is first paired with the first holder of each run of lines (a star, not all pairs). What it then
+  keeps of a run that other earlier documents hold is tried with the next holders, more in each round,
+  until no earlier holder of a kept run is left. So the result is that of all pairs. A later document
+  and an earlier one form one pair in a round however many lines they share.
 * Rare hashes find the pairs: a line of ``MIN_WORDS`` words or more is hashed alone, a shorter one
-  together with the lines after it until the run has so many words. Every block that may be deleted
-  begins with such a run, while common short lines alone never pair documents. No hash is left out
+  together with the lines after it, and with those before it, until the run has so many words. Every
+  line with words of a block that may be deleted is in such a run of the block, while common short lines alone never pair documents. No hash is left out
   because many documents hold it.
 * Alignment: lines that occur once in either document are anchors, their longest increasing chain
   is kept and grown to both sides over equal lines; the gaps are aligned in the same way.
@@ -22,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -129,51 +131,68 @@ def _pack(batches):
     for b in batches:
         h = [np.array(x, np.int64).tobytes() for x in b.column("h").to_pylist()]
         w = [np.array(x, np.int32).tobytes() for x in b.column("w").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(h, pa.binary()), pa.array(w, pa.binary())], ["doc_id", "k", "lines", "words"])
+        n = pa.array([sum(x) for x in b.column("w").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(h, pa.binary()), pa.array(w, pa.binary()), n], ["doc_id", "k", "lines", "words", "n_words"])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, lines, words) of every document: packed line hashes and words of each line."""
+    """(doc_id, k, lines, words, n_words) of every document: packed line hashes and words of each line, and words in all."""
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # a line without a word is hash 0 and never an anchor of its own
     h = F.transform(split, lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
     w = F.transform(split, lambda x: F.when(F.trim(x) == "", 0).otherwise(F.length(x) - F.length(F.translate(x, " \t", "")) + 1).cast("int"))
     base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), h.alias("h"), w.alias("w"))
-    return base.mapInArrow(_pack, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, lines binary, words binary")
+    return base.mapInArrow(_pack, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, lines binary, words binary, n_words long")
 
 
-def run_hashes(h: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
-    """Hashes of the shortest runs of lines with ``least`` words, one for each line that begins one.
-
-    A document of fewer words in all is one run.
-    """
+def runs(h: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the shortest runs of lines with ``least`` words that begin or end at each line."""
     n = len(h)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    if not total[-1]:
-        return np.empty(0, np.int64)
     if total[-1] < least:
-        start, end = np.zeros(1, np.int64), np.full(1, n)
-    else:
-        start = np.arange(n)[words > 0]
-        end = np.searchsorted(total, total[start] + least)
-        start, end = start[end <= n], end[end <= n]
+        none = np.empty(0, np.int64)
+        return none, none, none
+    spoken = np.arange(n)[words > 0]
+    start = spoken[total[spoken] + least <= total[-1]]
+    end = np.searchsorted(total, total[start] + least)
+    last = spoken[total[spoken + 1] >= least] + 1
+    first = np.searchsorted(total, total[last] - least, side="right") - 1
+    start, end = np.unique(np.stack([np.concatenate([start, first]), np.concatenate([end, last])]), axis=1)
     x = h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(31))
     power = np.cumprod(np.full(n, _BASE, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power)])
     back = np.cumprod(np.full(n, _INVERSE, np.uint64))
-    return ((sums[end] - sums[start]) * back[start]).view(np.int64)
+    return ((sums[end] - sums[start]) * back[start]).view(np.int64), start, end
 
 
 def _occurrences(batches):
+    """Hashes of the runs of each document; with a column gone, only of runs that keep a line with words."""
     import pyarrow as pa
 
     for b in batches:
         lines, words = b.column("lines").to_pylist(), b.column("words").to_pylist()
-        h = [np.unique(run_hashes(np.frombuffer(x, np.int64), np.frombuffer(w, np.int32))) for x, w in zip(lines, words)]
-        at = np.repeat(np.arange(len(h)), [len(x) for x in h])
-        flat = np.concatenate(h) if len(h) else np.empty(0, np.int64)
+        lost = b.column("gone").to_pylist() if "gone" in b.schema.names else [None] * len(lines)
+        found = []
+        for x, w, g in zip(lines, words, lost):
+            w = np.frombuffer(w, np.int32)
+            h, start, end = runs(np.frombuffer(x, np.int64), w)
+            if g is not None:
+                kept = w > 0
+                if g:
+                    kept[_union_positions(g)] = False
+                many = np.concatenate([[0], np.cumsum(kept)])
+                h = h[many[end] > many[start]]
+            found.append(np.unique(h))
+        at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        flat = np.concatenate(found) if len(found) else np.empty(0, np.int64)
         take = pa.array(at)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), b.column("doc_id").take(take), b.column("k").take(take)], ["h", "doc_id", "k"])
+        rest = [c for c in ("doc_id", "k") if c in b.schema.names]
+        yield pa.RecordBatch.from_arrays([pa.array(flat), *(b.column(c).take(take) for c in rest)], ["h", *rest])
+
+
+def _all_lines(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"k": pdf.k, "gone": [np.arange(len(x) // 8, dtype=np.int32).tobytes() for x in pdf.lines]})
 
 
 def deletions(docs: DataFrame) -> DataFrame:
@@ -185,16 +204,39 @@ def deletions(docs: DataFrame) -> DataFrame:
     """
     packed = cut(lines_of(docs).dropDuplicates(["k"]))
     kind = dict(docs.dtypes)["doc_id"]
-    occ = packed.mapInArrow(_occurrences, f"h long, doc_id {kind}, k long")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("k").alias("k"))
-    first = occ.groupBy("h").agg(F.min(order).alias("first"), F.max("k").alias("hi"), F.min("k").alias("lo"))
-    first = first.where("hi <> lo").select("h", F.col("first.k").alias("fk"))
-    pairs = occ.join(first, "h").where("k <> fk").select(F.col("fk").alias("earlier"), F.col("k").alias("later")).distinct()
-    side = packed.select(F.col("k"), "lines", "words")
-    both = pairs.join(side.select(F.col("k").alias("later"), F.col("lines").alias("later_lines"), F.col("words").alias("later_words")), "later")
-    both = both.join(side.select(F.col("k").alias("earlier"), F.col("lines").alias("first_lines")), "earlier")
-    gone = both.select("later", "first_lines", "later_lines", "later_words").mapInPandas(_align, "k long, gone binary")
-    return gone.where(F.length("gone") > 0)
+    # documents with the same lines: all but the first go
+    packed = packed.withColumn("c", F.xxhash64("lines"))
+    firsts = packed.where("n_words > 0").groupBy("c").agg(F.min(order).alias("first")).select("c", F.col("first.k").alias("fk"))
+    marked = cut(packed.join(firsts.hint("merge"), "c"))
+    copies = marked.where("k <> fk").select("k", "lines").mapInPandas(_all_lines, "k long, gone binary")
+    side = marked.where("k = fk").select("doc_id", "k", "lines", "words")
+
+    occ = side.mapInArrow(_occurrences, f"h long, doc_id {kind}, k long")
+    holders = Window.partitionBy("h")
+    ranked = occ.withColumn("rank", F.row_number().over(holders.orderBy(order))).withColumn("hi", F.max("k").over(holders)).withColumn("lo", F.min("k").over(holders))
+    ranked = cut(ranked.where("hi <> lo").select("h", "k", "rank"))
+    open_runs, low, high, gone = ranked.where("rank > 1"), 1, 2, [None]
+    while True:
+        # the holders of ranks from low to high that are earlier; those of lower ranks were tried before
+        earlier = ranked.where((F.col("rank") >= low) & (F.col("rank") < high)).select("h", F.col("k").alias("earlier"), F.col("rank").alias("of"))
+        pairs = open_runs.join(earlier.hint("merge"), "h").where("of < rank").select("earlier", F.col("k").alias("later")).distinct()
+        both = pairs.join(side.select(F.col("k").alias("later"), F.col("lines").alias("later_lines"), F.col("words").alias("later_words")).hint("merge"), "later")
+        both = both.join(side.select(F.col("k").alias("earlier"), F.col("lines").alias("first_lines")).hint("merge"), "earlier")
+        got = both.select("later", "first_lines", "later_lines", "later_words").mapInPandas(_align, "k long, gone binary")
+        gone.append(cut(got.where(F.length("gone") > 0)))
+        low, high = high, high * 4
+        left = open_runs.where(F.col("rank") > low)
+        so_far = gone[1]
+        for g in gone[2:]:
+            so_far = so_far.unionByName(g)
+        lost = so_far.groupBy("k").agg(F.collect_list("gone").alias("gone"))
+        todo = side.join(left.select("k").distinct().hint("merge"), "k").join(lost.hint("merge"), "k", "left")
+        todo = todo.select("k", "lines", "words", F.coalesce("gone", F.array().cast("array<binary>")).alias("gone"))
+        kept = todo.mapInArrow(_occurrences, "h long, k long")
+        open_runs = cut(left.join(kept.hint("merge"), ["h", "k"]))
+        if open_runs.isEmpty():
+            return so_far.unionByName(copies)
 
 
 def _union_positions(blobs: list[bytes]) -> np.ndarray:

@@ -78,6 +78,26 @@ def test_line_dedup(docs, corpus, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_is_that_of_all_pairs(spark):
+    rng = random.Random(2)
+    x, y, z, *more = (words(rng, 26, 10**6) for _ in range(8))
+    texts = [f"{x}\n{y}", f"{y}\n{x}", f"{y}\n{x}", f"{x}\n{y}\nshort", f"{y}\n{x}\nend", f"{z}\n{x}", f"{x}\n{z}"]
+    short = [words(rng, 5) for _ in range(6)]
+    for _ in range(40):  # blocks and short lines in any order, so that pairs with the first holder cross
+        texts.append("\n".join(rng.choice([x, y, z, *more, *short, ""]) for _ in range(rng.randrange(2, 9))))
+    split = [t.split("\n") for t in texts]
+    kept = []
+    for b, later in enumerate(split):
+        n = [len(t.split()) for t in later]
+        gone = {j for a in range(b) if sum(n) for j in linededup.aligned_lines(split[a], later, n) if n[j]}
+        kept.append([t for j, t in enumerate(later) if n[j] and j not in gone])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [t for t in r.text.split("\n") if t] for r in linededup.dedup_lines(docs).collect()}
+    assert got[2] == []
+    # documents under 25 words are left out: they go only as copies
+    assert [got[i] for i, t in enumerate(texts) if len(t.split()) >= 25] == [kept[i] for i, t in enumerate(texts) if len(t.split()) >= 25]
+
+
 # Section: 2: language-model scores
 
 

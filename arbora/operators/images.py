@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import solids as S
-from ..functions import vector as V
 from ..sources.images import SCHEMA, array, row
 from . import topology as T
 
@@ -219,28 +217,74 @@ def voxelise(nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
     resolution.
     """
     res = float(resolution)
-    e = T.edges(nodes).withColumn("_r", F.greatest("p_r", "c_r"))
-    pieces = F.greatest(F.ceil(F.col("length") / (2 * F.col("_r") + 2 * res)), F.lit(1)).cast("int")
-    g = e.withColumn("_m", pieces).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-
-    def end(c: str, t: Column) -> Column:
-        return F.col(f"p_{c}") + (F.col(f"c_{c}") - F.col(f"p_{c}")) * t / F.col("_m")
-
-    for c, a in zip("xyz", "ijk"):
-        u, v = end(c, F.col("_t")), end(c, F.col("_t") + 1)
-        lo = F.floor((F.least(u, v) - F.col("_r")) / res).cast("int")
-        hi = F.ceil((F.greatest(u, v) + F.col("_r")) / res).cast("int")
-        g = g.withColumn(a, F.explode(F.sequence(lo, hi)))
-    g = g.withColumns({f"_{c}": (F.col(a) + 0.5) * res - F.col(f"p_{c}") for c, a in zip("xyz", "ijk")})
-    ba, q = V.sub(V.vec("c_"), V.vec("p_")), V.vec("_")
-    # first the distance to the axis, which few voxels of a box pass; then the exact one
-    along = F.coalesce(F.try_divide(V.dot(q, ba), F.col("length") * F.col("length")), F.lit(0.0))
-    g = g.withColumn("_s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
-    g = g.where(V.dot(q, q) - 2 * F.col("_s") * V.dot(q, ba) + F.col("_s") * F.col("_s") * F.col("length") * F.col("length") <= F.col("_r") * F.col("_r") + 1e-9)
-    near = g.select("tree_id", "i", "j", "k", *(F.col(f"{e}_{c}") for e in "pc" for c in "xyzr")).distinct()
-    p = tuple((F.col(a) + 0.5) * res for a in "ijk")
-    d = S.sdf_round_cone(p, V.vec("p_"), V.vec("c_"), F.col("p_r"), F.col("c_r"))
-    return near.where(d <= 0).select("tree_id", "i", "j", "k").distinct()
+    kind = dict(nodes.dtypes)["tree_id"]
+
+    def run(batches):
+        for pdf in batches:
+            ends = pdf[[f"{e}_{c}" for e in "pc" for c in "xyzr"]].to_numpy(float)
+            trees = pdf.tree_id.to_numpy()
+            for i in range(0, len(ends), 200):
+                found = [_edge_voxels(e[:3], e[4:7], e[3], e[7], res) for e in ends[i : i + 200]]
+                v = np.concatenate(found).astype(np.int32)
+                yield pd.DataFrame({"tree_id": np.repeat(trees[i : i + 200], [len(f) for f in found]), "i": v[:, 0], "j": v[:, 1], "k": v[:, 2]})
+
+    edges = T.edges(nodes).select("tree_id", *(f"{e}_{c}" for e in "pc" for c in "xyzr"))
+    # an edge yields many rows, so edges are spread by number and not by size
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.repartition(tasks, *edges.columns)
+    return edges.mapInPandas(run, f"tree_id {kind}, i int, j int, k int").distinct()
+
+
+def _edge_voxels(p: np.ndarray, c: np.ndarray, rp: float, rc: float, res: float) -> np.ndarray:
+    """(n, 3) voxels whose centre lies in the round cone from p to c."""
+    axis = c - p
+    size, wide = float(axis @ axis), max(rp, rc)
+    m = max(int(np.ceil(np.sqrt(size) / (2 * wide + 2 * res))), 1)
+    out = []
+    for first in range(0, m, 256):  # some pieces at a time, however long the edge
+        t = np.arange(first, min(first + 256, m) + 1) / m
+        along = p + axis * t[:, None]
+        lo = np.floor((np.minimum(along[:-1], along[1:]) - wide) / res).astype(np.int64)
+        hi = np.ceil((np.maximum(along[:-1], along[1:]) + wide) / res).astype(np.int64)
+        n = (hi - lo + 1).max(0)
+        x = [lo[:, k, None] + np.arange(n[k]) for k in range(3)]
+        q = [(x[k] + 0.5) * res - p[k] for k in range(3)]
+        wing = lambda k: q[k].reshape(len(lo), *(n[k] if k == d else 1 for d in range(3)))
+        dot = sum(wing(k) * axis[k] for k in range(3))
+        q2 = sum(wing(k) ** 2 for k in range(3))
+        s = np.clip(dot / size, 0, 1) if size else np.zeros_like(dot)
+        # first the distance to the axis, which few voxels of a box pass; then the exact one
+        piece, i, j, k = np.nonzero(q2 - 2 * s * dot + s * s * size <= wide * wide + 1e-9)
+        v = np.stack([lo[piece, 0] + i, lo[piece, 1] + j, lo[piece, 2] + k], 1)
+        to = (v + 0.5) * res - p
+        out.append(v[_in_round_cone(to, axis, rp, rc)])
+    v = np.concatenate(out)
+    if not len(v):
+        return v
+    low = v.min(0)
+    span = v.max(0) - low + 1
+    code = np.unique(np.ravel_multi_index((v - low).T, span))
+    return np.stack(np.unravel_index(code, span), 1) + low
+
+
+def _in_round_cone(to: np.ndarray, axis: np.ndarray, ra: float, rb: float) -> np.ndarray:
+    """Whether ``solids.sdf_round_cone`` of points, relative to the start of the axis, is 0 or less."""
+    size, fall = float(axis @ axis), ra - rb
+    reach = size - fall * fall
+    to2 = (to * to).sum(1)
+    after2 = ((to - axis) ** 2).sum(1)
+    in_a, in_b = np.sqrt(to2) - ra <= 0, np.sqrt(after2) - rb <= 0
+    if size <= 0 or reach <= 0:
+        return in_a | in_b
+    before = to @ axis
+    after = before - size
+    across = to * size - axis * before[:, None]
+    wide = (across * across).sum(1)
+    tilt = np.sign(fall) * wide * fall * fall
+    near_a = reach * size * before * before * np.sign(before) < tilt
+    near_b = reach * size * after * after * np.sign(after) > tilt
+    between = (before * fall + np.sqrt(np.maximum(reach * wide / size, 0))) / size - ra <= 0
+    return np.where(near_a, in_a, np.where(near_b, in_b, between))
 
 
 def to_stacks(v: DataFrame) -> DataFrame:

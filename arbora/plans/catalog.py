@@ -357,7 +357,7 @@ register("lines_to_tree", lambda n: construct.lines_to_tree(T.branches(n).select
 register("standardise", lambda n: branching.standardise(T.branches(n)))
 register("mvee", construct.ellipses, digits=4)
 register("volume_middle", lambda n: volume.tree_volume(n, samples=1_000_000), digits=3)
-register("voxelise", lambda n: images.voxelise(n, 8.0).groupBy("tree_id").agg(F.count("*").alias("n_voxels")))
+register("voxelise", lambda n: images.voxelise(n))
 register("resample_tree", lambda n: branching.resample_tree(n, distance=20.0).groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum((F.col("pid") == -1).cast("long")).alias("n_roots")), CTE + BRANCH + """
 SELECT tree_id, (1 + sum(CASE WHEN length = 0 THEN 0 ELSE ceil(length / 20 - 1e-12) END))::BIGINT AS n_nodes, 1::BIGINT AS n_roots FROM bl GROUP BY tree_id""")
 register("floret_share", lambda n: construct.length_share(n, construct.florets(n, n.where("id = 2").select("tree_id", "id"))[1]), CTE + _DESC + f"""

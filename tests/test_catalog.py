@@ -25,6 +25,23 @@ def test_equals_sql(spark, name):
     assert len(mine) and canon(mine) == canon(theirs)
 
 
+def test_voxelise_lists_every_voxel(spark):
+    """Of two trees: each node's own voxel is there, and all are as by the distance of the Spark expressions."""
+    n = catalog.forest(spark, SF).where("tree_id < 3 AND id < 12").cache()
+    got = catalog.QUERIES["voxelise"](spark, SF)
+    assert got.columns == ["tree_id", "i", "j", "k"]
+    own = catalog.forest(spark, SF).selectExpr("tree_id", *(f"CAST(floor({x}) AS LONG) AS {i}" for x, i in zip("xyz", "ijk"))).distinct()
+    assert own.join(got, own.columns, "left_anti").count() == 0
+    grid = catalog.T.edges(n)
+    for x, i in zip("xyz", "ijk"):
+        grid = grid.selectExpr("*", f"explode(sequence(CAST(floor(least(p_{x}, c_{x})) AS INT) - 3, CAST(ceil(greatest(p_{x}, c_{x})) AS INT) + 3)) AS {i}")
+    at = tuple(catalog.F.col(i) + 0.5 for i in "ijk")
+    inside = catalog.S.sdf_round_cone(at, catalog.V.vec("p_"), catalog.V.vec("c_"), catalog.F.col("p_r"), catalog.F.col("c_r")) <= 0
+    want = {tuple(r) for r in grid.where("length < 60").where(inside).select("tree_id", "i", "j", "k").distinct().collect()}
+    some = catalog.images.voxelise(n)
+    assert want and want <= {tuple(r) for r in some.collect()}
+
+
 def test_contract(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and catalog.FLAGSHIP in q

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..runtime import cut
+from ..runtime import Rounds, cut
 
-#: Rounds after which a node that has not met a root must lie on a cycle (2**40 steps).
-MAX_ROUNDS = 40
+#: Rounds before the largest tree is measured, which bounds the number of rounds.
+FREE_ROUNDS = 6
 
 #: How a fold joins the value nearer to the node (a) with the one further up (b).
 _JOIN = {
@@ -96,44 +96,60 @@ def climb(nodes: DataFrame, values: dict[str, tuple[Column, str]], stop: Column
     parent is missing. ``top`` is the node where the way ends, null on a cycle.
     """
     anc = F.when(is_root() | (F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(False)), F.lit(None)).otherwise(F.col("pid"))
-    s = cut(nodes.select("tree_id", "id", anc.cast(dict(nodes.dtypes)["pid"]).alias("_anc"), F.col("id").alias("top"), *(v.alias(n) for n, (v, _) in values.items())))
-    for _ in range(MAX_ROUNDS):
-        live = s.where("_anc IS NOT NULL")
-        if live.isEmpty():
-            break
-        up = s.select("tree_id", F.col("id").alias("_anc"), F.col("_anc").alias("_up"), F.col("top").alias("_top"), *(F.col(n).alias(f"_{n}") for n in values))
-        step = live.join(up, ["tree_id", "_anc"], "left")
+    state = nodes.select("tree_id", "id", anc.cast(dict(nodes.dtypes)["pid"]).alias("_anc"), F.col("id").alias("top"), *(v.alias(n) for n, (v, _) in values.items()))
+    live = F.col("_anc").isNotNull().alias("_live")
+    s = Rounds(state.select("*", live), "_live")
+    rounds = 0
+    while not s.over and not _all_on_cycles(s, rounds):
+        both = s.done.unionByName(s.live)
+        up = both.select("tree_id", F.col("id").alias("_anc"), F.col("_anc").alias("_up"), F.col("top").alias("_top"), *(F.col(n).alias(f"_{n}") for n in values))
+        step = s.live.join(up, ["tree_id", "_anc"], "left")
         met = F.col("_top").isNotNull()
         step = step.select(
             "tree_id", "id", F.col("_up").alias("_anc"), F.coalesce("_top", "top").alias("top"),
             *(F.when(met, _JOIN[how](F.col(n), F.col(f"_{n}"))).otherwise(F.col(n)).alias(n) for n, (_, how) in values.items()),
         )
-        s = cut(s.where("_anc IS NULL").unionByName(step))
+        s.next(step.select("*", live))
+        rounds += 1
+    s = s.done.unionByName(s.live)
     return s.withColumn("top", F.when(F.col("_anc").isNull(), F.col("top"))).drop("_anc")
 
 
+def _all_on_cycles(s: Rounds, rounds: int) -> bool:
+    """Whether what is live after so many rounds lies on a cycle or hangs below one.
+
+    After ``rounds`` a node has gone 2**rounds steps, and a way without a cycle has fewer than its tree has nodes.
+    """
+    if rounds == FREE_ROUNDS:
+        most = s.done.unionByName(s.live).groupBy("tree_id").count().agg(F.max("count")).first()[0]
+        s.limit = int(most - 1).bit_length()
+    return rounds >= FREE_ROUNDS and rounds >= s.limit
+
+
 def gather(nodes: DataFrame, values: dict[str, tuple[Column, str]]) -> DataFrame:
     """Folds over the subtree under every node, itself included: (tree_id, id, <names>).
 
     Joins are sum, max, min, or, and. After round k a node holds its descendants nearer than 2**k;
-    those of the node 2**k further down are added next, each once.
+    those of the node 2**k further down are added next, each once. Nodes that lie on a cycle or below
+    one have no defined fold.
     """
-    s = cut(nodes.select("tree_id", "id", F.when(is_root(), None).otherwise(F.col("pid")).alias("_anc"), *(v.alias(n) for n, (v, _) in values.items())))
-    for _ in range(MAX_ROUNDS):
-        live = s.where("_anc IS NOT NULL")
-        if live.isEmpty():
-            break
-        below = live.groupBy("tree_id", F.col("_anc").alias("id")).agg(*(_AGG[how](n).alias(f"_{n}") for n, (_, how) in values.items()))
-        up = s.select("tree_id", F.col("id").alias("_anc"), F.col("_anc").alias("_up"))
-        moved = s.where("_anc IS NULL").withColumn("_up", F.col("_anc")).unionByName(live.join(up, ["tree_id", "_anc"], "left").select(*s.columns, "_up"))
-        new = moved.join(below, ["tree_id", "id"], "left")
-        s = cut(
+    state = nodes.select("tree_id", "id", F.when(is_root(), None).otherwise(F.col("pid")).alias("_anc"), *(v.alias(n) for n, (v, _) in values.items()))
+    # a node that has met its root still takes what comes from below, so all rows stay live until the end
+    s = Rounds(state.select("*", F.lit(True).alias("_live")), "_live")
+    rounds = 0
+    while not s.over and not s.live.where("_anc IS NOT NULL").isEmpty() and not _all_on_cycles(s, rounds):
+        below = s.live.where("_anc IS NOT NULL").groupBy("tree_id", F.col("_anc").alias("id")).agg(*(_AGG[how](n).alias(f"_{n}") for n, (_, how) in values.items()))
+        up = s.live.select("tree_id", F.col("id").alias("_anc"), F.col("_anc").alias("_up"))
+        new = s.live.join(up, ["tree_id", "_anc"], "left").join(below, ["tree_id", "id"], "left")
+        s.next(
             new.select(
                 "tree_id", "id", F.col("_up").alias("_anc"),
                 *(F.when(F.col(f"_{n}").isNull(), F.col(n)).otherwise(_JOIN[how](F.col(n), F.col(f"_{n}"))).alias(n) for n, (_, how) in values.items()),
+                F.lit(True).alias("_live"),
             )
         )
-    return s.drop("_anc")
+        rounds += 1
+    return s.live.drop("_anc")
 
 
 def root_walk(nodes: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_folder
+
 #: A word, as every operator here counts it: a run of bytes that are not ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,12 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of this machine where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or f"file://{os.path.join(tempfile.gettempdir(), 'arbora-checkpoints')}").rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder, so the rows survive a lost executor."""
     sc = df.sparkSession.sparkContext
@@ -31,6 +24,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df bears it (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def row_key() -> "F.Column":
     """64-bit key of a document row; rows with equal id and text share it, others do not."""
     return F.xxhash64("doc_id", "text")

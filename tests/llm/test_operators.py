@@ -242,7 +242,7 @@ def test_urls(spark):
     df = spark.createDataFrame(list(enumerate(data)), "page_id long, url string").withColumn("host", F.lit("clash"))
     r = {x.page_id: x for x in urls.judge(df).collect()}
     assert [(r[i].host, r[i].path) for i in (0, 6, 7, 9, 11, 12)] == [("a.example.org", "/en/2"), ("", ""), ("", ""), ("y.org", ""), ("h.net:80", "/a"), ("b:", "//c/d")]
-    assert [(r[i].rule, r[i].verdict) for i in range(5)] == [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
+    assert [(r[i].rule, r[i].verdict) for i in range(5)] == [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
     assert r[5].rule is None and r[9].rule is None and r[10].rule is None
     assert {x.verdict for x in r.values()} == {"allow", "block"}
     assert (r[len(data) - 2].verdict, r[len(data) - 1].verdict) == ("allow", "block")

@@ -3,14 +3,20 @@
 Two bigram models share one vocabulary and one way of smoothing: the target model learns from the
 documents of a wanted kind, the background model from the whole corpus. A document's score is the
 mean over its tokens of the target's loss minus the background's: the lower, the more it is like the
-target. Counts cover every token of the corpus; they grow with it and are combined by Spark.
-
-Every word has counts of its own. Pairs of the ``VOCAB`` most frequent words (the head) are counted in a
-table that is broadcast, bounded by (VOCAB + 65) ** 2 (17 MB at 2,000 words). Every other pair has a
-rarer word in it: each occurrence of such a word is shuffled, with its neighbours and the key of its
-document, to the bucket of the word, where all counts of its pairs come together; the buckets grow in
-number with the corpus. What a document gains in each bucket is summed by its key. Words are told apart
-by 63-bit hashes. With ``vocab`` the words beyond so many are 64 unknown words by their hash instead.
+target. A wanted document is scored by models that have both learned from it. Counts cover every
+token of the corpus; every word has counts of its own, so what is gathered grows with the corpus.
+
+Counts meet documents by two exchanges of sparse tables, and no table of the whole model exists:
+
+1. Documents fall into buckets of about ``BUCKET`` bytes by the hash of their id. Each bucket counts its
+   words and pairs and sends every distinct one once, however often it occurs, to the range that the
+   key's hash lies in (``_ask``). So the commonest pair is sent as often as any other.
+2. A range adds up what all buckets sent and answers each of them in the order of its keys (``_answer``).
+3. The bucket counts again, now holds the corpus counts of all its words and pairs, and scores (``_score``).
+
+Texts are shuffled once, to their buckets, and read twice from there. Words and pairs are told apart by
+64-bit hashes. With ``vocab`` the words beyond so many are 64 unknown words by their hash instead, and
+the model is one table of at most (vocab + 65) ** 2 entries that is broadcast.
 """
 
 from __future__ import annotations
@@ -21,12 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, table, texts_of
+from .common import byte_buffers, cut, table, texts_of
 
 VOCAB = 2000
 UNKNOWN = 64
-#: Occurrences of rarer words in a bucket, about.
-BUCKET = 1_000_000
+#: Bytes of text in a bucket, and of the texts whose keys are in a range, about; a task holds about 30 times that
+#: for a moment. Beyond BUCKETS of them they grow with the root of the corpus, as the tables sent are buckets times ranges.
+BUCKET = 8_000_000
+BUCKETS = 100_000
 #: Weight of the shorter model in the mixture, in counts (Dirichlet smoothing).
 PRIOR = 50.0
 #: Distinct words or pairs a task holds before it hands its counts on.
@@ -45,13 +53,6 @@ def unknown(word: bytes) -> int:
     return xxh32_intdigest(word) % UNKNOWN
 
 
-def rare(word: bytes) -> int:
-    """Code of a word outside the head: negative, by its hash."""
-    from xxhash import xxh3_64_intdigest
-
-    return -1 - (xxh3_64_intdigest(word) >> 1)
-
-
 class _Ids(dict):
     """Word -> id; unknown words are added as they are met, up to a bound."""
 
@@ -65,16 +66,6 @@ class _Ids(dict):
         return i
 
 
-class _Codes(_Ids):
-    """Word -> id of a head word, or the code of a rarer one."""
-
-    def __missing__(self, word: bytes) -> int:
-        i = rare(word)
-        if len(self) < 400_000:
-            self[word] = i
-        return i
-
-
 def _word_counts(batches):
     import pyarrow as pa
 
@@ -164,10 +155,10 @@ def pair_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nda
     return counts.sum(2), counts[:, :, 1]
 
 
-def log_model(n: np.ndarray, size: int | None = None) -> np.ndarray:
-    """log p(token | previous): pair counts mixed with token counts, those with a uniform share of ``size`` tokens."""
+def log_model(n: np.ndarray) -> np.ndarray:
+    """log p(token | previous): pair counts mixed with token counts, those with a uniform share."""
     uni = n.sum(0, dtype=np.float64)
-    uni = (uni + 1.0) / (uni.sum() + (size or len(uni)))
+    uni = (uni + 1.0) / (uni.sum() + len(uni))
     total = n.sum(1, dtype=np.float64)
     out = np.empty(n.shape, np.float32)
     for i in range(len(n)):  # row by row, to hold one table only
@@ -197,158 +188,220 @@ def score_documents(docs: DataFrame, words: list[bytes], loss: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, score double")
 
 
-def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of codes of rarer words; rises with the code."""
-    return ((code + np.int64(2**62) + np.int64(2**62)) >> 43) * buckets >> 20
+# Section: every word for itself
+
+_R = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
+_START = np.uint64(0x2545F4914F6CDD1D)
+#: Bytes that are hashed at once.
+_PIECE = 1 << 20
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _byte_codes() -> np.ndarray:
+    """A number for each byte; A-Z count as a-z, white space is 0."""
+    x = (np.arange(1, 257, dtype=np.uint64) * np.uint64(_R)) ^ np.uint64(_R >> 7)
+    x *= _M1
+    x ^= x >> np.uint64(29)
+    x |= np.uint64(1)
+    x[65:91] = x[97:123]
+    x[[9, 10, 11, 12, 13, 32]] = 0
+    return x
+
+
+_CODES = _byte_codes()
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, at least n of each."""
+    size = max(_PIECE, 1 << (n - 1).bit_length()) if n else _PIECE
+    if size not in _POWERS:
+        if len(_POWERS) > 1:
+            _POWERS.clear()
+        _POWERS[size] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, v, np.uint64))]) for v in (_R, pow(_R, -1, 1 << 64)))
+    return _POWERS[size]
+
+
+def _last_break(data: np.ndarray, starts: np.ndarray, a: int, b: int) -> int:
+    """Last place from a to before b where a word cannot go on: a space, or the first byte of a text; -1 if there is none."""
+    space = np.flatnonzero(_CODES[data[a:b]] == 0)
+    text = np.searchsorted(starts, b) - 1
+    return max(int(space[-1]) + a if len(space) else -1, int(starts[text]) if text >= 0 and starts[text] >= a else -1)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word of the texts ``data[offsets[i]:offsets[i + 1]]``, in order."""
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    hashes, at = [], []
+    pos, stop = int(offsets[0]), int(offsets[-1])
+    while pos < stop:
+        end = min(pos + _PIECE, stop)
+        if end < stop:  # a piece ends before a space or the first byte of a text
+            back = _last_break(data, starts, pos + 1, end)
+            while back < 0:  # one word longer than a piece
+                ahead = min(end + _PIECE, stop)
+                back = stop if ahead == stop and _last_break(data, starts, end, ahead) < 0 else _last_break(data, starts, end, ahead)
+                end = ahead
+            end = back
+        v = _CODES[data[pos:end]]
+        word = v != 0
+        first, last = word.copy(), word.copy()
+        cut_at = starts[np.searchsorted(starts, pos) : np.searchsorted(starts, end)] - pos
+        inner = np.zeros(len(v) + 1, bool)  # where a text begins
+        inner[cut_at] = True
+        first[1:] &= ~word[:-1] | inner[1:-1]
+        last[:-1] &= ~word[1:] | inner[1:-1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _powers(len(v))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * up[: len(v)])])
+        h = (sums[b] - sums[a]) * down[a]
+        h ^= h >> np.uint64(31)
+        h *= _M1
+        h ^= h >> np.uint64(29)
+        hashes.append(h)
+        at.append(np.searchsorted(offsets, a + pos, side="right") - 1)
+        pos = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(at)
+
+
+class _Bucket:
+    """The words and pairs of some texts."""
+
+    def __init__(self, texts):
+        data, offsets = byte_buffers(texts)
+        self.n = len(offsets) - 1
+        h, self.doc = word_hashes(data, offsets)
+        opens = np.ones(len(h), bool)
+        opens[1:] = self.doc[1:] != self.doc[:-1]
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[opens] = _START
+        pair = (before ^ before >> np.uint64(32)) * _M2 + h
+        pair ^= pair >> np.uint64(29)
+        pair *= _M1
+        pair ^= pair >> np.uint64(32)
+        # words, as a token and as the one before; the start is a word that only comes before
+        self.words, where = np.unique(np.concatenate([h, before]), return_inverse=True)
+        self.word, self.before = where[: len(h)], where[len(h) :]
+        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+
+    def counts(self, wanted: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per word: as a token in all texts and in the wanted ones, as the one before likewise; per pair: in all, in the wanted."""
+        y = wanted[self.doc].astype(np.float64)
+        many = lambda at, k: [np.bincount(at, minlength=k), np.bincount(at, y, k).astype(np.int64)]
+        return many(self.word, len(self.words)) + many(self.before, len(self.words)), many(self.pair, len(self.pairs))
+
+
+def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Ends of the n ranges among sorted keys."""
+    at = (keys >> np.uint64(40)).astype(np.int64) * n >> 24
+    return np.searchsorted(at, np.arange(n), side="right")
+
+
+def _squeeze(columns: list[np.ndarray]) -> bytes:
+    """64-bit columns byte plane by byte plane, compressed: small numbers take next to nothing."""
+    import pyarrow as pa
 
+    raw = b"".join(c.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return pa.Codec("zstd").compress(raw, asbytes=True)
 
-def _scatter(words: list[bytes], loss: np.ndarray, buckets: int):
-    """Rows of each document with what pairs of head words give it, and packed occurrences of rarer words by bucket."""
-    width = len(loss)
-    flat = np.ascontiguousarray(loss).ravel()
 
-    def pack(held, schema):
-        import pyarrow as pa
+def _expand(blob: bytes, sizes: list[int]) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, decompressed_size=8 * sum(sizes), asbytes=True), np.uint8)
+    out, at = [], 0
+    for n in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + 8 * n].reshape(8, n).T).view(np.uint64).ravel())
+        at += 8 * n
+    return out
 
-        code, before, after, key, wanted = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(code, kind="stable")  # equal words side by side, and buckets in order
-        code, before, after, key, wanted = (x[order] for x in (code, before, after, key, wanted))
-        at = _bucket(code, buckets)
-        ends = np.flatnonzero(np.diff(at)) + 1
-        cuts = list(zip([0, *ends.tolist()], [*ends.tolist(), len(at)]))
-        zstd = pa.Codec("zstd")
-        blobs, sizes, keys = [], [], []
-        for i, j in cuts:
-            docs, doc = np.unique(key[i:j], return_inverse=True)
-            parts = (code[i:j], before[i:j], after[i:j], wanted[i:j], doc.astype(np.int32), docs)
-            blobs.append(zstd.compress(b"".join(x.tobytes() for x in parts), asbytes=True))
-            sizes.append(j - i)
-            keys.append(len(docs))
-        none = lambda k: pa.nulls(len(cuts), schema.field(k).type)
-        bucket = pa.array([int(at[i]) for i, _ in cuts], pa.int32())
-        # for a packed row k is the number of its documents
-        docs = pa.array(keys, pa.int64())
-        return pa.RecordBatch.from_arrays([bucket, docs, none("doc_id"), pa.array(sizes, pa.int64()), none("s"), pa.array(blobs, pa.binary())], schema=schema)
 
-    def run(batches):
+def _ask(ranges: int):
+    """A bucket's distinct words and pairs with their counts, a row for each range."""
+
+    def run(docs, wanted):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        ids = _Codes(words)
-        held, size = [], 0
-        schema = None
-        for b in batches:
-            schema = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("n", pa.int64()), ("s", pa.float64()), ("blob", pa.binary())])
-            col = lambda c: b.column(b.schema.get_field_index(c))
-            n, s = [], []
-            for t, k, y in zip(texts_of(col("text")), col("k").to_pylist(), col("target").to_pylist()):
-                w = tokens(t)
-                n.append(len(w))
-                a = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-                before = np.concatenate([np.zeros(1, np.int64), a[:-1]])[: len(a)]
-                both = (a > 0) & (before >= 0)
-                s.append(float(flat[before[both] * width + a[both]].sum(dtype=np.float64)))
-                tail = np.flatnonzero(a < 0)
-                if len(tail):
-                    # the next word: its id in the head, -1 beyond it, 0 at the end
-                    after = np.concatenate([np.maximum(a[1:], -1), np.zeros(1, np.int64)]).astype(np.int32)
-                    held.append((a[tail], before[tail], after[tail], np.full(len(tail), k, np.int64), np.full(len(tail), bool(y))))
-                    size += len(tail)
-                if size > BUCKET:
-                    yield pack(held, schema)
-                    held, size = [], 0
-            k = col("k")
-            spread = pa.array(np.asarray(k).astype(np.int64) % buckets, pa.int32())
-            yield pa.RecordBatch.from_arrays([spread, k, col("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.nulls(len(n), pa.binary())], schema=schema)
-        if held:
-            yield pack(held, schema)
+        b = _Bucket(docs["text"])
+        flag = pc.is_in(docs["doc_id"], value_set=wanted["doc_id"].combine_chunks()) if len(wanted) else pa.array(np.zeros(len(docs), bool))
+        words, pairs = b.counts(np.asarray(flag))
+        ends = [_ranges(k, ranges).tolist() for k in (b.words, b.pairs)]
+        rows, a = [], [0, 0]
+        for g in range(ranges if b.n else 0):
+            e = [x[g] for x in ends]
+            keys = [np.diff(k[i:j], prepend=k.dtype.type(0)) for k, i, j in zip((b.words, b.pairs), a, e)]
+            columns = [keys[0], *(c[a[0] : e[0]] for c in words), keys[1], *(c[a[1] : e[1]] for c in pairs)]
+            rows.append((g, e[0] - a[0], e[1] - a[1], _squeeze(columns)))
+            a = e
+        cols = list(zip(*rows)) if rows else [[], [], [], []]
+        bucket = docs["bucket"][0].as_py() if len(docs) else 0
+        kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary()
+        return pa.table([pa.array([bucket] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["bucket", "range", "words", "pairs", "blob"])
 
     return run
 
 
-def _unpack(blob: bytes, n: int, docs: int) -> tuple[np.ndarray, ...]:
+def _answer(group):
+    """Corpus counts for what each bucket asked of a range, in the order of its keys; the range's words and tokens go along."""
     import pyarrow as pa
 
-    raw = pa.Codec("zstd").decompress(blob, decompressed_size=25 * n + 8 * docs, asbytes=True)
-    out, at = [], 0
-    for kind, many in ((np.int64, n), (np.int64, n), (np.int32, n), (np.bool_, n), (np.int32, n), (np.int64, docs)):
-        out.append(np.frombuffer(raw, kind, many, at))
-        at += out[-1].nbytes
-    code, before, after, wanted, doc, key = out
-    return code, before, after, wanted, key[doc]
-
-
-def _gain(pair: np.ndarray, wanted: np.ndarray, uni: np.ndarray, uni_wanted: np.ndarray) -> np.ndarray:
-    """Of each occurrence of a pair: log of its smoothed count in the corpus less that in the wanted documents."""
-    kinds, which = np.unique(pair, return_inverse=True)
-    n = np.bincount(which, minlength=len(kinds))[which]
-    m = np.bincount(which, wanted, len(kinds))[which]
-    return np.log(n + PRIOR * uni) - np.log(m + PRIOR * uni_wanted)
-
-
-def _rare_gains(code, before, after, wanted, head_uni, head_total, sums, size) -> np.ndarray:
-    """What each occurrence of a rarer word adds to its document; all occurrences of the words have to be there."""
-    words, at = np.unique(code, return_inverse=True)
-    k = len(words)
-    n, m = np.bincount(at, minlength=k), np.bincount(at, wanted, k)
-    uni, uni_wanted = (n + 1.0) / (sums[0] + size), (m + 1.0) / (sums[1] + size)
-    kinds, which = np.unique(before, return_inverse=True)
-    out = _gain(at * len(kinds) + which, wanted, uni[at], uni_wanted[at])
-    ahead = before >= 0  # the word before is in the head (or the start), its totals are known
-    x = before[ahead]
-    out[ahead] -= np.log(head_total[0][x] + PRIOR) - np.log(head_total[1][x] + PRIOR)
-    # of each word as the one before: its total, and the pairs with a head word after it
-    goes = after != 0
-    total, total_wanted = np.bincount(at[goes], minlength=k), np.bincount(at[goes], wanted[goes], k)
-    out[goes] -= (np.log(total + PRIOR) - np.log(total_wanted + PRIOR))[at[goes]]
-    h = after > 0
-    x = after[h]
-    out[h] += _gain(at[h] * len(head_uni[0]) + x, wanted[h], head_uni[0][x], head_uni[1][x])
-    return out
+    sizes = list(zip(group["words"].to_pylist(), group["pairs"].to_pylist()))
+    asked = [_expand(b.as_py(), [n] * 5 + [m] * 3) for b, (n, m) in zip(group["blob"], sizes)]
 
+    def total(first: int, kinds: int, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        key = np.concatenate([np.cumsum(x[first]) for x in asked])
+        distinct, at = np.unique(key, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([x[first + 1 + c] for x in asked]).astype(np.float64), len(distinct)).astype(np.int64) for c in range(kinds)]
+        return sums, [np.split(s[at], ends[:-1]) for s in sums]
 
-def score_all_words(flagged: DataFrame, words: list[bytes], everything: np.ndarray, some: np.ndarray, size: int, rare_tokens: int) -> DataFrame:
-    """doc_id, n_tokens and score of every row (doc_id, text, target); no word stands for another.
+    words, for_words = total(0, 4, np.cumsum([n for n, _ in sizes]))
+    _, for_pairs = total(5, 2, np.cumsum([m for _, m in sizes]))
+    blobs = [_squeeze([*(c[i] for c in for_words), *(c[i] for c in for_pairs)]) for i in range(len(sizes))]
+    n = len(sizes)
+    sums = [np.full(n, v, np.int64) for v in (int((words[0] > 0).sum()), int(words[0].sum()), int(words[1].sum()))]
+    return pa.table([group["bucket"], group["range"], group["words"], group["pairs"], pa.array(blobs, pa.binary()), *map(pa.array, sums)], ["bucket", "range", "words", "pairs", "blob", "distinct", "tokens", "wanted"])
 
-    ``everything`` and ``some`` are the pair counts of the head ``words``; ``size`` is the number of tokens
-    that the uniform share is over.
-    """
-    loss = log_model(everything, size)
-    loss -= log_model(some, size)
-    sums = [float(x.sum(dtype=np.float64)) for x in (everything, some)]
-    head_uni = [(x.sum(0, dtype=np.float64) + 1.0) / (n + size) for x, n in zip((everything, some), sums)]
-    head_total = [x.sum(1, dtype=np.float64) for x in (everything, some)]
-    buckets = min(max(12, -(-rare_tokens // BUCKET)), 1 << 20)
-    sc = flagged.sparkSession.sparkContext
-    model, head = sc.broadcast((words, loss)), sc.broadcast((head_uni, head_total))
-    kind = dict(flagged.dtypes)["doc_id"]
-
-    def scatter(batches):
-        yield from _scatter(*model.value, buckets)(batches)
-
-    def settle(group):
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
-        is_doc = pc.is_null(group["blob"])
-        docs, packed = group.filter(is_doc), group.filter(pc.invert(is_doc))
-        keys, gains = np.empty(0, np.int64), np.empty(0)
-        if len(packed):
-            parts = [_unpack(b.as_py(), n.as_py(), k.as_py()) for b, n, k in zip(packed["blob"], packed["n"], packed["k"])]
-            code, before, after, wanted, key = (np.concatenate(x) for x in zip(*parts))
-            del parts
-            keys, at = np.unique(key, return_inverse=True)
-            gains = np.bincount(at, _rare_gains(code, before, after, wanted, *head.value, sums, size), len(keys))
-        schema = pa.schema([("k", pa.int64()), ("doc_id", group.schema.field("doc_id").type), ("n", pa.int64()), ("s", pa.float64()), ("copies", pa.int64())])
-        one = pa.table([docs["k"], docs["doc_id"], docs["n"], docs["s"], pa.array(np.ones(len(docs), np.int64))], schema=schema)
-        two = pa.table([pa.array(keys), pa.nulls(len(keys), schema.field("doc_id").type), pa.array(np.zeros(len(keys), np.int64)), pa.array(gains), pa.array(np.zeros(len(keys), np.int64))], schema=schema)
-        return pa.concat_tables([one, two])
-
-    rows = flagged.select("doc_id", "text", "target", row_key().alias("k")).mapInArrow(scatter, f"bucket int, k long, doc_id {kind}, n long, s double, blob binary")
-    parts = rows.groupBy("bucket").applyInArrow(settle, f"k long, doc_id {kind}, n long, s double, copies long")
-    # rows with equal id and text have one key: each adds the same, so the sum is shared out
-    docs = parts.groupBy("k").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("s").alias("s"), F.sum("copies").alias("copies"))
-    score = F.when(F.col("n_tokens") > 0, F.col("s") / F.col("copies") / F.col("n_tokens")).otherwise(0.0)
-    return docs.select("doc_id", "n_tokens", score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+def _score(docs, answers):
+    """doc_id, n_tokens and score of the texts of a bucket."""
+    import pyarrow as pa
+
+    b = _Bucket(docs["text"])
+    n = np.bincount(b.doc, minlength=b.n) if b.n else np.empty(0, np.int64)
+    score = np.zeros(b.n)
+    if len(b.doc):
+        answers = answers.sort_by("range")
+        size = sum(answers["distinct"].to_pylist()) + 1
+        sums = [float(sum(answers[c].to_pylist())) for c in ("tokens", "wanted")]
+        got = [_expand(x.as_py(), [i] * 4 + [j] * 2) for x, i, j in zip(answers["blob"], answers["words"].to_pylist(), answers["pairs"].to_pylist())]
+        word = [np.concatenate([x[c] for x in got]).astype(np.float64) for c in range(4)]
+        pair = [np.concatenate([x[c] for x in got]).astype(np.float64) for c in (4, 5)]
+        gain = np.zeros(len(b.doc))
+        for c, sign in ((0, 1.0), (1, -1.0)):
+            uni = PRIOR * (word[c] + 1.0) / (sums[c] + size)
+            gain += sign * (np.log(pair[c][b.pair] + uni[b.word]) - np.log(word[2 + c] + PRIOR)[b.before])
+        score = np.bincount(b.doc, gain, b.n) / np.maximum(n, 1)
+    return pa.table([docs["doc_id"], pa.array(n.astype(np.int64)), pa.array(score)], ["doc_id", "n_tokens", "score"])
+
+
+def score_all_words(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and score of every row (doc_id, text); no word stands for another."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // BUCKET)
+    n = max(1, n if n <= BUCKETS else int((n * BUCKETS) ** 0.5))
+    kind = dict(docs.dtypes)["doc_id"]
+    # rows without an id are never wanted and spread by their text
+    bucket = lambda text: F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("bucket")
+    rows = docs.select(bucket(F.when(F.col("doc_id").isNull(), F.col("text"))), "doc_id", "text")
+    wanted = target.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id IS NOT NULL")
+    wanted = wanted.select(bucket(F.lit(None).cast("string")), "doc_id")
+    asked = rows.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_ask(n), "bucket int, range int, words long, pairs long, blob binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "bucket int, range int, words long, pairs long, blob binary, distinct long, tokens long, wanted long")
+    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score, f"doc_id {kind}, n_tokens long, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocab: int | None = None) -> DataFrame:
@@ -358,19 +411,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocab: int | No
     document is wanted, the target model is the uniform one mixed as usual, so scores stay defined.
     Every word counts for itself, unless ``vocab`` bounds their number.
     """
+    if vocab is None:
+        return score_all_words(docs.select("doc_id", "text"), target)
     # ids only; one row each, so the join keeps the rows of docs as they are
     wanted = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("_wanted", F.lit(True))
     wanted = cut(wanted)
-    counts = cut(word_counts(docs))
-    words = vocabulary(counts, VOCAB if vocab is None else vocab)
+    words = vocabulary(word_counts(docs), vocab)
     # the list of wanted ids grows with the corpus, so it is never broadcast
     flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left")
     flagged = flagged.select("doc_id", "text", F.coalesce("_wanted", F.lit(False)).alias("target"))
     everything, some = pair_counts(flagged, words)
-    if vocab is None:
-        distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        rare_tokens = total - int(everything.sum(0, dtype=np.float64)[1 + UNKNOWN :].sum())
-        return score_all_words(flagged, words, everything, some, distinct + 1, rare_tokens)
     loss = log_model(everything)
     loss -= log_model(some)
     return score_documents(docs, words, loss)

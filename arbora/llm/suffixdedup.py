@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from .common import cut, row_key, table, texts_of
 
 WINDOW = 400
@@ -334,9 +335,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(k, i, n): n windows from i on, in the row with key k, that also start elsewhere; spans may repeat."""
     base = docs.select(row_key().alias("k"), "text")
     long_ones = base.where(F.octet_length("text") >= WINDOW)
-    # most minimizers occur once; they are told apart by their counts alone, and only the rest is shuffled whole
-    found = long_ones.mapInArrow(_runs, "k long, g long, c long, run long")
-    often = cut(found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g"))
+    # texts are hashed once; most minimizers occur once and are told apart by their counts alone, only the rest is shuffled whole
+    found = runtime.cut(long_ones.mapInArrow(_runs, "k long, g long, c long, run long"))
+    often = found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g")
     runs = cut(found.join(often, "g", "left_semi"))
     kinds = runs.groupBy("g", "c").agg(F.count("*").alias("copies"), F.min(F.struct("k", "run")).alias("one"))
     groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"))
@@ -372,7 +373,7 @@ def removed_bytes(i: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
 
 
 def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts`` also kept, the bytes left.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes of every row; with ``texts`` also kept, the bytes left.
 
     Texts count as UTF-8 bytes, null as empty. Matches never cross rows; a string that starts twice in
     one row is a repeat as well. Rows that repeat exactly are repeats of one another and lose the same.
@@ -380,13 +381,13 @@ def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     spans = repeats(docs).groupBy("k").agg(F.collect_list(F.struct("i", "n")).alias("spans"))
     keyed = docs.select("doc_id", "text", row_key().alias("k")).join(spans, "k", "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"] + ["kept"] * texts
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             lists = b.column(b.schema.get_field_index("spans"))
             for raw, x in zip(texts_of(b.column(b.schema.get_field_index("text"))), lists):
                 gone = []
@@ -398,15 +399,15 @@ def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
                     kept.append(raw[p:s])
                     p = e
                 rest = b"".join([*kept, raw[p:]])
-                for c, v in zip(cols, (len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest)):
+                for c, v in zip(cols, (len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), len(rest), rest)):
                     c.append(v)
             arrays = [b.column(b.schema.get_field_index("doc_id"))]
-            arrays += [pa.array(c, t) for c, t in zip(cols[: 4 + texts], [pa.int64()] * 3 + [pa.string(), pa.binary()])]
+            arrays += [pa.array(c, t) for c, t in zip(cols[: 5 + texts], [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()])]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return keyed.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long" + ", kept binary" * texts)
 
 
 def op8_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes of every document."""
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))

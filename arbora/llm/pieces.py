@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: The public model file; pass another path to use another model.
 MODEL = os.environ.get("ARBORA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -39,8 +39,12 @@ CHUNK = 1 << 16
 LONG = 40
 #: How far a cut looks for a word start, and the characters kept before a chunk (above the longest piece).
 LOOK, PAD = 4096, 64
-#: Words a worker remembers.
-REMEMBERED = 300_000
+#: Words of a generation; a worker remembers two, so a word is forgotten only if it is not met for as many new ones.
+REMEMBERED = 180_000
+#: Words that are worked out at once, and rows that are encoded at once.
+BATCH, ROWS = 20_000, 1500
+#: Chunks of a block: their matrices are multiplied in one task, the products of blocks are then scanned.
+BLOCK = 64
 SPACE = "▁"
 _R = np.uint64(0x9E3779B97F4A7C15)
 LOW = float("-inf")
@@ -192,10 +196,20 @@ class Model:
             keys = np.array([a * n + b for a, b in pairs], np.uint64)
             self.merge.add(keys, np.array(list(pairs.values()), np.int32))
             self.scores32 = np.array(self.score + [0.0] * (n - len(self.score)), np.float32)
-        self.lookup = Table(20)
+        self.lookup = Table(17 if n < 60_000 else n.bit_length() + 2)
         self.lookup.add(np.array([self._hash(p) for p in self.symbol_of], np.uint64), np.array(list(self.symbol_of.values()), np.int32))
+        self.maybe = np.zeros(1 << 20, bool)  # small enough for the cache: most strings are no piece
+        self.maybe[(self.lookup.keys[self.lookup.values >= 0] >> np.uint64(44)).astype(np.int64)] = True
+        self.fine = np.append(self.whole, True)
         self.weight = np.array([self.score[i] if i < self.size else 0.0 for i in range(n)])
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, symbols) of those hashes that are a symbol's."""
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        t = self.lookup.get(h[at])
+        hit = t >= 0
+        return at[hit], t[hit]
+
     @staticmethod
     def _mix(code: np.ndarray) -> np.ndarray:
         x = code.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + _R
@@ -239,6 +253,7 @@ class Encoder:
     def __init__(self, model: Model):
         self.m = model
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known = Table(21)
 
     def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,56 +282,66 @@ class Encoder:
         out[at] = got > 0
         return out
 
-    def _batch(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of words of one length, all at once. Unknown characters are len(symbols)."""
+    def _paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of words of one length one after the other, number of symbols of each), all at once.
+
+        An unknown character is -1 minus the place where it stands.
+        """
         m, length, n = self.m, len(words[0]), len(words)
         none = len(m.symbols)
-        x = m._mix(np.array(words).view(np.uint32).reshape(n, length)) if length else np.zeros((n, 0), np.uint64)
+        x = m._mix(np.array(words).view(np.uint32).reshape(n, length))
         prefix = np.zeros((n, length + 1), np.uint64)
         for e in range(length):
             prefix[:, e + 1] = prefix[:, e] * _R + x[:, e]
         power = np.ones(length + 1, np.uint64)
         power[1:] = np.cumprod(np.full(length, _R))
-        best = np.full((n, length + 1), LOW)
-        best[:, 0] = 0
-        last, back = np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
-        match = {}
+        found = []  # (row, start, end, symbol) of every piece in every word
         for k in range(1, min(m.longest, length) + 1):
-            h = prefix[:, k:] - prefix[:, : length + 1 - k] * power[k]
-            match[k] = m.lookup.get(h.ravel()).reshape(h.shape)
+            wide = length + 1 - k
+            h = (prefix[:, k:] - prefix[:, :wide] * power[k]).ravel()
+            at, t = m.find(h)
+            if k == 1:
+                all_t = np.full(n * length, none, np.int32)
+                all_t[at] = t
+                at, t = np.arange(n * length), all_t
+            ok = m.fine[t]
+            at, t = at[ok], t[ok]
+            row = at // wide
+            start = at - row * wide
+            found.append((row, start, (start + k).astype(np.int16), t))
+        row, start, end, sym = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(end, kind="stable")
+        row, start, sym = row[order], start[order], sym[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=length + 1))])
+        reached, last, back = np.zeros((n, length + 1), bool), np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
+        reached[:, 0] = True
+        best = np.zeros((n, length + 1)) if m.kind == 1 else None
         for e in range(1, length + 1):
-            for k in range(1, min(m.longest, e) + 1):
-                s = e - k
-                t = match[k][:, s]
-                if k == 1:
-                    t = np.where(t < 0, none, t)
-                at = np.flatnonzero(t >= 0)
-                t = t[at].astype(np.int64)
-                plain = t < none
-                fine = best[at, s] > LOW
-                fine[plain] &= m.whole[t[plain]]
-                if s:
-                    fine[fine] = self._allowed(last[at[fine], s], t[fine])
-                at, t = at[fine], t[fine]
-                if m.kind == 2:
-                    v = np.zeros(len(at))
-                else:
-                    v = best[at, s] + np.where(t < m.size, m.weight[np.minimum(t, len(m.weight) - 1)], m.unk_score)
-                up = v > best[at, e]
-                at, t, v = at[up], t[up], v[up]
-                best[at, e], last[at, e], back[at, e] = v, t, s
-        out: list[list[int]] = [[] for _ in range(n)]
-        pos, rows = np.full(n, length), np.arange(n)
-        steps = []
-        while len(rows):
-            p = pos[rows]
-            steps.append((rows, last[rows, p], back[rows, p]))
-            pos[rows] = back[rows, p]
-            rows = rows[pos[rows] > 0]
-        for rows, t, s in reversed(steps):
-            for r, v, a in zip(rows.tolist(), t.tolist(), s.tolist()):
-                out[r].append(v if v < m.size else -1 - a)  # unknown: where it stands
-        return out
+            r, s, t = (c[ends[e] : ends[e + 1]] for c in (row, start, sym))
+            ok = reached[r, s]
+            inner = np.flatnonzero(ok & (s > 0))
+            ok[inner] = self._allowed(last[r[inner], s[inner]], t[inner].astype(np.int64))
+            r, s, t = r[ok], s[ok], t[ok]
+            if m.kind == 1:
+                v = best[r, s] + np.where(t < m.size, m.weight[np.minimum(t, len(m.weight) - 1)], m.unk_score)
+                up = np.lexsort((s, v))  # the best is written last, of equals the shortest piece
+                r, s, t = r[up], s[up], t[up]
+                best[r, e] = v[up]
+            reached[r, e], last[r, e], back[r, e] = True, t, s
+        out, used = np.zeros((n, length), np.int32), np.zeros((n, length), bool)
+        r, p = np.arange(n), np.full(n, length)
+        while len(r):
+            v, s = last[r, p], back[r, p]
+            out[r, s] = np.where(v < m.size, v, -1 - s)
+            used[r, s] = True
+            more = s > 0
+            r, p = r[more], s[more]
+        return out[used], used.sum(1)
+
+    def _batch(self, words: list[str]) -> list[list[int]]:
+        """Symbols of words of one length; an unknown character is -1 minus its place."""
+        flat, counts = self._paths(words)
+        return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
 
     def _ids(self, word: str, symbols: list[int]) -> bytes:
         if min(symbols, default=0) >= 0:
@@ -327,52 +352,50 @@ class Encoder:
         return np.array(ids, np.int32).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Works out words (without their leading space) that are not remembered."""
+        """Works out what is not remembered: words without their leading space, or units that begin with one."""
         by: dict[int, list[str]] = {}
         for w in words:
             if len(w) < LONG:
-                by.setdefault(len(w) + 1, []).append(SPACE + w)
+                by.setdefault(len(w) + (w[:1] != SPACE), []).append(w)
             else:
-                self.words[w] = self.scan(SPACE + w)
-        for ws in by.values():
-            for i in range(0, len(ws), 20_000):
-                part = ws[i : i + 20_000]
-                for w, s in zip(part, self._batch(part)):
-                    self.words[w[1:]] = self._ids(w, s)
-
-    def unit(self, text: str) -> bytes:
-        """Ids of a stretch that no piece enters or leaves, of any form (runs of spaces and a word)."""
-        return self.scan(text) if len(text) >= LONG else self._ids(text, self._batch([text])[0])
+                self.words[w] = self.scan(w if w[0] == SPACE else SPACE + w)
+        for length, ws in by.items():
+            step = max(500, BATCH * 8 // length)
+            for i in range(0, len(ws), step):
+                part = ws[i : i + step]
+                flat, counts = self._paths([w if w[:1] == SPACE else SPACE + w for w in part])
+                blob, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+                a = 0
+                for w, b in zip(part, ends):
+                    self.words[w] = blob[a:b]
+                    a = b
+                for i_ in np.unique(np.repeat(np.arange(len(part)), counts)[flat < 0]).tolist():
+                    w, stop = part[i_], ends[i_] // 4
+                    self.words[w] = self._ids(w if w[:1] == SPACE else SPACE + w, flat[stop - counts[i_] : stop].tolist())
+
+    def recall(self, words: set[str]) -> None:
+        """Makes sure that all these words and units are in ``words``, from the older generation or by working them out."""
+        if len(self.words) > REMEMBERED:
+            self.older, self.words = self.words, {}
+        new = words - self.words.keys()
+        again = new & self.older.keys()
+        for w in again:
+            self.words[w] = self.older[w]
+        self.learn(new - again)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        split = [t.split(" ") if t else [] for t in texts]
-        odd = [SPACE in t or "  " in t or t[-1:] == " " or t[:1] == " " for t in texts]
+        split = []
         new: set[str] = set()
-        for words, o in zip(split, odd):
-            if not o:
-                new.update(words)
-        new -= self.words.keys()
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = set().union(*(w for w, o in zip(split, odd) if not o))
-        self.learn(new)
-        out = []
-        for t, words, o in zip(texts, split, odd):
-            if o:
-                words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + t.replace(" ", SPACE))
-                blob = b"".join(self.unit_or_word(w) for w in words)
+        for t in texts:
+            if SPACE in t or "  " in t or t[-1:] == " " or t[:1] == " ":
+                words = units(SPACE + t.replace(" ", SPACE))
             else:
-                blob = b"".join(map(self.words.__getitem__, words))
-            out.append(np.frombuffer(blob, np.int32))
-        return out
-
-    def unit_or_word(self, unit: str) -> bytes:
-        if unit[0] == SPACE and SPACE not in unit[1:]:
-            got = self.words.get(unit[1:])
-            if got is not None:
-                return got
-        return self.unit(unit)
+                words = t.split(" ") if t else []
+            split.append(words)
+            new.update(words)
+        self.recall(new)
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32) for words in split]
 
     # Section: the scan over chunks
 
@@ -431,17 +454,9 @@ class Encoder:
         chunk = max(chunk, self.m.longest)
         cuts = [*range(0, len(text), chunk), len(text)]
         matrices = [self.matrix(text, a, b) for a, b in zip(cuts, cuts[1:])] if len(cuts) > 2 else []
-        # prefix products give the best weight of every state at every cut
-        ahead = [np.zeros(1)]
-        for x in matrices:
-            ahead.append((ahead[-1][:, None] + x).max(0))
-        state_at: list[tuple[int, int, int] | None] = [None] * len(cuts)
-        state_at[0] = (0, 0, -1)
-        if matrices:
-            at = int(ahead[-1].argmax())
-            for k in range(len(matrices), 0, -1):
-                state_at[k] = self.states(text, cuts[k])[at]
-                at = int((ahead[k - 1] + matrices[k - 1][:, at]).argmax())
+        state_at: list[tuple[int, int, int] | None] = [(0, 0, -1)] + [None] * (len(cuts) - 1)
+        for k, (_, c) in enumerate(chain(matrices) if matrices else [], 1):
+            state_at[k] = self.states(text, cuts[k])[c]
         symbols: list[int] = []
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             start = state_at[k]
@@ -516,13 +531,19 @@ class Encoder:
             return trace(before[r], after[c], b[0], b[1])
         out = b"" if a[1] else trace(before[r], (first, first, -1), first, True)
         if last > first:
-            units = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", piece[first:last])
-            new = {u[1:] for u in units if u[0] == SPACE and SPACE not in u[1:] and u[1:] not in self.words}
-            self.learn(new)
-            out += b"".join(map(self.unit_or_word, units))
+            words = units(piece[first:last])
+            self.recall(set(words))
+            out += b"".join(map(self.words.__getitem__, words))
         return out if b[1] else out + trace((last, last, -1), after[c], b[0], False)
 
 
+def units(text: str) -> list[str]:
+    """Stretches of a text that no piece enters or leaves: words without their leading space, and other runs of spaces with a word.
+
+    The text begins with a space, and so does every stretch."""
+    return [u if SPACE in u[1:] else u[1:] for u in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)]
+
+
 def word_start(text: str, lo: int, hi: int) -> int:
     """First place from lo on, before hi, where a space follows another character; -1 if there is none."""
     p = text.find(SPACE, max(lo, 1), hi)
@@ -577,11 +598,14 @@ def _cut_up(chunk: int, look: int):
 def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look: int = LOOK) -> DataFrame:
     """(k, ids) of rows (k, text) with distinct keys: ids as packed 32-bit numbers, by a scan over chunks.
 
-    What one task holds of a text is a chunk, then the matrices of its chunks, and last its ids.
+    The matrices of BLOCK chunks are multiplied, pair by pair, in a task of their own; the products of the
+    blocks of a text fix the states at the blocks' ends, and then every block fixes those inside it.
     """
     from ..runtime import cut
 
-    chunks = cut(texts.mapInArrow(_cut_up(chunk, look), "k long, i int, n int, a int, b int, piece string").repartition("k", "i"))
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few but dear rows are not put together
+    chunks = cut(texts.mapInArrow(_cut_up(chunk, look), "k long, i int, n int, a int, b int, piece string").repartition(n, "k", "i"))
 
     def places(enc: Encoder, r) -> tuple:
         return enc.place(r.piece, r.a, r.i == 0, look), enc.place(r.piece, r.b, r.i == r.n - 1, look)
@@ -590,21 +614,24 @@ def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look:
         enc = _encoder(path)
         for pdf in batches:
             m = [enc.chunk_matrix(r.piece, *places(enc, r)) for r in pdf.itertuples()]
-            yield pd.DataFrame({"k": pdf.k, "i": pdf.i, "rows": [x.shape[0] for x in m], "cols": [x.shape[1] for x in m], "m": [x.tobytes() for x in m]})
+            yield pd.DataFrame({"k": pdf.k, "i": pdf.i, "block": pdf.i // BLOCK, "rows": [x.shape[0] for x in m], "cols": [x.shape[1] for x in m], "m": [x.tobytes() for x in m]})
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    def unpack(pdf: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(m).reshape(r, c) for m, r, c in zip(pdf.m, pdf.rows, pdf.cols)]
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = tree_product(unpack(pdf.sort_values("i")))
+        return pd.DataFrame({"k": pdf.k[:1], "block": pdf.block[:1], "rows": [x.shape[0]], "cols": [x.shape[1]], "m": [x.tobytes()]})
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        x = chain(unpack(pdf))
+        return pd.DataFrame({"k": pdf.k, "block": pdf.block, "r0": [e[0] for e in x], "c0": [e[1] for e in x]})
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        ms = [np.frombuffer(m).reshape(r, c) for m, r, c in zip(pdf.m, pdf.rows, pdf.cols)]
-        ahead = [np.zeros(ms[0].shape[0])]
-        for x in ms:
-            ahead.append((ahead[-1][:, None] + x).max(0))
-        at, ends = int(ahead[-1].argmax()), []
-        for x, w in zip(reversed(ms), reversed(ahead[:-1])):
-            up = int((w + x[:, at]).argmax())
-            ends.append((up, at))
-            at = up
-        ends.reverse()
-        return pd.DataFrame({"k": pdf.k, "i": pdf.i, "r": [e[0] for e in ends], "c": [e[1] for e in ends]})
+        x = chain(unpack(pdf), int(pdf.r0.iat[0]), int(pdf.c0.iat[0]))
+        return pd.DataFrame({"k": pdf.k, "i": pdf.i, "r": [e[0] for e in x], "c": [e[1] for e in x]})
 
     def traces(batches):
         enc = _encoder(path)
@@ -612,9 +639,11 @@ def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look:
             ids = [enc.chunk_ids(r.piece, *places(enc, r), r.r, r.c) for r in pdf.itertuples()]
             yield pd.DataFrame({"k": pdf.k, "i": pdf.i, "part": ids})
 
-    got = chunks.mapInPandas(matrices, "k long, i int, rows int, cols int, m binary")
-    chosen = got.groupBy("k").applyInPandas(combine, "k long, i int, r int, c int")
-    parts = chunks.join(chosen, ["k", "i"]).mapInPandas(traces, "k long, i int, part binary")
+    got = cut(chunks.mapInPandas(matrices, "k long, i int, block int, rows int, cols int, m binary"))
+    products = got.groupBy("k", "block").applyInPandas(product, "k long, block int, rows int, cols int, m binary")
+    fixed = products.groupBy("k").applyInPandas(ends, "k long, block int, r0 int, c0 int")
+    chosen = got.join(fixed, ["k", "block"]).groupBy("k", "block").applyInPandas(inside, "k long, i int, r int, c int")
+    parts = chunks.join(chosen, ["k", "i"]).repartition(n, "k", "i").mapInPandas(traces, "k long, i int, part binary")
     whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("p"))
 
     def join(batches):
@@ -624,11 +653,41 @@ def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look:
     return whole.mapInPandas(join, "k long, ids binary")
 
 
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product of two matrices."""
+    return (a[:, :, None] + b[None]).max(1)
+
+
+def tree_product(ms: list[np.ndarray]) -> np.ndarray:
+    """Max-plus product of matrices in order, pair by pair."""
+    while len(ms) > 1:
+        ms = [multiply(*ms[i : i + 2]) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
+    return ms[0]
+
+
+def chain(ms: list[np.ndarray], first: int | None = None, last: int | None = None) -> list[tuple[int, int]]:
+    """(row, column) of each matrix on the best way through all of them, from row ``first`` to column ``last`` if they are given."""
+    start = np.zeros(ms[0].shape[0])
+    if first is not None:
+        start[:] = LOW
+        start[first] = 0.0
+    ahead = [start]
+    for x in ms:
+        ahead.append((ahead[-1][:, None] + x).max(0))
+    at, out = int(ahead[-1].argmax()) if last is None else last, []
+    for x, w in zip(reversed(ms), reversed(ahead[:-1])):
+        up = int((w + x[:, at]).argmax())
+        out.append((up, at))
+        at = up
+    return out[::-1]
+
+
 def _with_ids(docs: DataFrame, path: str, keep: list[str], finish, schema: str) -> DataFrame:
     """The columns ``keep`` of docs and those that ``finish(ids of rows)`` makes: (names, Arrow arrays).
 
     Encoding and finishing share one worker, as each keeps the model in memory.
     """
+    name, key, got = fresh(docs, "_text", "_k", "_ids")
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), schema])
 
     def rows(b, i, n, ids):
@@ -639,26 +698,27 @@ def _with_ids(docs: DataFrame, path: str, keep: list[str], finish, schema: str)
 
     def encode(batches):
         for b in batches:
-            text = b.column(b.schema.get_field_index("_text"))
-            for i in range(0, len(text), 1000):
-                yield rows(b, i, 1000, _encoder(path).encode([t or "" for t in text.slice(i, 1000).to_pylist()]))
+            text = b.column(b.schema.get_field_index(name))
+            for i in range(0, len(text), ROWS):
+                yield rows(b, i, ROWS, _encoder(path).encode([t or "" for t in text.slice(i, ROWS).to_pylist()]))
 
     def attach(batches):
         for b in batches:
-            ids = [np.frombuffer(x, np.int32) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
+            ids = [np.frombuffer(x, np.int32) for x in b.column(b.schema.get_field_index(got)).to_pylist()]
             yield rows(b, 0, len(ids), ids)
 
     giant = F.coalesce(F.length("text") >= CHUNK, F.lit(False))
-    small = docs.where(~giant).select(*keep, F.col("text").alias("_text")).mapInArrow(encode, fields)
+    small = docs.where(~giant).select(*keep, F.col("text").alias(name)).mapInArrow(encode, fields)
     ids = encode_giants(docs.where(giant).select(F.xxhash64("text").alias("k"), "text").dropDuplicates(["k"]), path)
-    large = docs.where(giant).select(*keep, F.xxhash64("text").alias("k")).join(ids, "k").mapInArrow(attach, fields)
+    ids = ids.select(F.col("k").alias(key), F.col("ids").alias(got))
+    large = docs.where(giant).select(*keep, F.xxhash64("text").alias(key)).join(ids, key).mapInArrow(attach, fields)
     return small.unionByName(large)
 
 
 def encode_column(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name goes,
-    and so do columns that begin with an underscore."""
-    keep = [c for c in docs.columns if c != "tokens" and not c.startswith("_")]
+    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name is replaced,
+    all others stay as they are."""
+    keep = [c for c in docs.columns if c != "tokens"]
 
     def finish(ids):
         import pyarrow as pa

@@ -157,7 +157,7 @@ register("radius_reset", lambda n: geometry.reset_radius(n, 2.5), CTE + f"SELECT
 _LENS = "CASE WHEN step > r + pr THEN 0.0 WHEN step <= abs(r - pr) THEN 4.0 / 3 * pi() * least(r, pr) ** 3 ELSE pi() / (12 * step) * (r + pr - step) ** 2 * (step ** 2 + 2 * step * r - 3 * r ** 2 + 2 * step * pr - 3 * pr ** 2 + 6 * r * pr) END"
 
 
-def _cone_sql(r1: str, r2: str) -> str:
+def _CONE(r1: str, r2: str) -> str:
     """Common volume of the frustum (r1, r2, step) and the sphere r1, as in ``solids.sphere_frustum_volume``."""
     cap = lambda r, h: f"(pi() * ({h}) ** 2 * (3 * ({r}) - ({h})) / 3)"
     fr = lambda a, b, h: f"(pi() * ({h}) * (({a}) ** 2 + ({a}) * ({b}) + ({b}) ** 2) / 3)"
@@ -167,7 +167,7 @@ def _cone_sql(r1: str, r2: str) -> str:
 
 
 _SPHERE, _FRUSTUM = "4.0 / 3 * pi() * r ** 3", "coalesce(pi() * step * (r * r + r * pr + pr * pr) / 3, 0)"
-_INNER = f"CASE WHEN pid <> -1 THEN {_LENS} - {_cone_sql('pr', 'r')} - {_cone_sql('r', 'pr')} ELSE 0.0 END"
+_INNER = f"CASE WHEN pid <> -1 THEN {_LENS} - {_CONE('pr', 'r')} - {_CONE('r', 'pr')} ELSE 0.0 END"
 for level, expr in ((1, _SPHERE), (2, f"{_SPHERE} + {_FRUSTUM}"), (3, f"{_SPHERE} + {_FRUSTUM} + {_INNER}")):
     register(f"volume_acc{level}", lambda n, a=level: volume.tree_volume(n, accuracy=a), CTE + f"SELECT tree_id, round(sum({expr}), 4) + 0.0 AS volume FROM par GROUP BY tree_id", 4)
 _P = (40.0, 30.0, 20.0)
@@ -289,7 +289,7 @@ pc AS (SELECT *, lead(s) OVER w AS t, lead(x) OVER w AS nx, lead(y) OVER w AS ny
 sp AS (SELECT bl.tree_id, bl.branch_id, k, {at} AS place FROM bl, range(0, 1000000) g(k) WHERE length > 0 AND k < {count})"""
 _AT = "SELECT sp.tree_id, sp.branch_id::BIGINT AS branch_id, k AS pos, " + ", ".join(f"round(max_by({c} + CASE WHEN t > s THEN (least(place, t) - s) / (t - s) ELSE 0 END * (n{c} - {c}), s), 6) + 0.0 AS {c}" for c in "xyzr") + " FROM sp JOIN pc ON pc.tree_id = sp.tree_id AND pc.branch_id = sp.branch_id AND pc.t > pc.s AND pc.s <= place + 1e-9 GROUP BY sp.tree_id, sp.branch_id, k"
 register("resample_linear", lambda n: branching.resample_linear(T.branches(n), 9), CTE + _SAMPLED.format(at="k * length / 8", count="9").replace("range(0, 1000000)", "range(0, 9)") + _AT)
-register("resample_isometric", lambda n: branching.resample_isometric(T.branches(n), 20.0), CTE + _SAMPLED.format(at="k * length / ceil(length / 20 - 1e-12)", count="ceil(length / 20 - 1e-12) + 1").replace("range(0, 1000000)", "range(0, 2000)") + _AT)
+register("resample_isometric", lambda n: branching.resample_isometric(T.branches(n), 20.0), CTE + _SAMPLED.format(at="k * length / ceil(length / 20 - 1e-12)", count="ceil(length / 20 - 1e-12) + 1").replace("range(0, 1000000)", "(SELECT unnest(range(0, (SELECT max(ceil(length / 20 - 1e-12))::BIGINT + 1 FROM bl))))") + _AT)
 
 # Section: populations and features
 
@@ -374,3 +374,5 @@ FROM nodes a JOIN nodes b ON a.tree_id = b.tree_id AND a.id < b.id) WHERE distan
 register("view_segments", views.segments, CTE + f"""
 SELECT tree_id, id::BIGINT AS id, {_r('px', 'x0')}, {_r('py', 'y0')}, {_r('x', 'x1')}, {_r('y', 'y1')}, ([{', '.join(repr(c) for c in views.PALETTE)}])[ptype % 8 + 1] AS colour FROM par WHERE pid <> -1""")
 register("bounding_boxes", views.boxes, CTE + "SELECT tree_id, " + ", ".join(_r(f"{f}({c})", f"{f}_{c}") for f in ("min", "max") for c in "xyz") + " FROM nodes GROUP BY tree_id")
+
+from . import forms  # noqa: E402, F401  (registers more queries)

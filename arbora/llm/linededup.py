@@ -8,13 +8,16 @@ diff over the sequences of line hashes, and blocks of aligned lines are deleted
   keeps of a run that other earlier documents hold is tried with the next holders, more in each round,
   until no earlier holder of a kept run is left. So the result is that of all pairs. A later document
   and an earlier one form one pair in a round however many lines they share.
-* Rare hashes find the pairs: a line of ``MIN_WORDS`` words or more is hashed alone, a shorter one
+* Rare hashes find the pairs: a line of ``min_words`` words or more is hashed alone, a shorter one
   together with the lines after it, and with those before it, until the run has so many words. Every
-  line with words of a block that may be deleted is in such a run of the block, while common short lines alone never pair documents. No hash is left out
-  because many documents hold it.
+  line with words of a block that may be deleted is in such a run of the block, while common short lines
+  alone never pair documents. No hash is left out because many documents hold it.
 * Alignment: lines that occur once in either document are anchors, their longest increasing chain
-  is kept and grown to both sides over equal lines; the gaps are aligned in the same way.
-* A block is deleted if it has at least ``MIN_WORDS`` words, or is the whole later document.
+  is kept and grown to both sides over equal lines; the gaps are aligned in the same way, from the first
+  common line on where none occurs once.
+* A block is deleted if it has at least ``min_words`` words (MIN_WORDS, 25, where nothing else is said; with 1
+  every aligned line that has a word goes). A document with fewer words is deleted only as a whole, if an
+  earlier one has the same lines.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import WORD, cut, fresh, table
 
 MIN_WORDS = 25
 #: Base of the polynomial hash of a run of lines, and its inverse modulo 2**64.
@@ -54,13 +57,27 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
         pairs = [(i, where[a[i]]) for i in range(a0, a1) if a[i] in where]
         chain = _increasing(pairs)
         if not chain:
-            # no unique line: the first common run, if any, anchors the rest
+            # no unique line: common runs anchor each other from the front; then the rest is looked at anew, at
+            # least half as long, so that a text that repeats itself takes n log n steps
             common = ca.keys() & cb.keys()
-            if not common:
-                continue
-            i = next(i for i in range(a0, a1) if a[i] in common)
-            j = next(j for j in range(b0, b1) if b[j] == a[i])
-            chain = [(i, j)]
+            places: dict[int, list[int]] = {}
+            for j in range(b0, b1):
+                if b[j] in common:
+                    places.setdefault(b[j], []).append(j)
+            i, j, stop = a0, b0, a0 + max(16, (a1 - a0) // 2) if common else a1
+            while i < min(stop, a1):
+                at = places.get(a[i], ())
+                k = bisect_left(at, j)
+                if k == len(at):
+                    i += 1
+                    continue
+                j = at[k]
+                while i < a1 and j < b1 and a[i] == b[j]:
+                    out.append((i, j))
+                    i, j = i + 1, j + 1
+            if common:
+                todo.append((i, a1, j, b1))
+            continue
         pa, pb = a0, b0
         for i, j in chain:
             if i < pa or j < pb:
@@ -109,7 +126,7 @@ def aligned_lines(first: list[int], later: list[int], words: list[int], least: i
     """Positions of lines of ``later`` in deleted blocks of its alignment with ``first``."""
     gone: list[int] = []
     for _, j, n in patience(first, later):
-        if sum(words[j : j + n]) >= least or n == len(later):
+        if sum(words[j : j + n]) >= max(least, 1):
             gone += range(j, j + n)
     return gone
 
@@ -118,10 +135,13 @@ def _hashes(blob: bytes) -> list[int]:
     return np.frombuffer(blob, np.int64).tolist()
 
 
-def _align(batches):
-    for pdf in batches:
-        gone = [np.array(aligned_lines(_hashes(a), _hashes(b), np.frombuffer(w, np.int32).tolist()), np.int32).tobytes() for a, b, w in zip(pdf.first_lines, pdf.later_lines, pdf.later_words)]
-        yield pd.DataFrame({"k": pdf.later, "gone": gone})
+def _align(least: int):
+    def run(batches):
+        for pdf in batches:
+            gone = [np.array(aligned_lines(_hashes(a), _hashes(b), np.frombuffer(w, np.int32).tolist(), least), np.int32).tobytes() for a, b, w in zip(pdf.first_lines, pdf.later_lines, pdf.later_words)]
+            yield pd.DataFrame({"k": pdf.later, "gone": gone})
+
+    return run
 
 
 def _pack(batches):
@@ -138,9 +158,9 @@ def _pack(batches):
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, k, lines, words, n_words) of every document: packed line hashes and words of each line, and words in all."""
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    # a line without a word is hash 0 and never an anchor of its own
-    h = F.transform(split, lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
-    w = F.transform(split, lambda x: F.when(F.trim(x) == "", 0).otherwise(F.length(x) - F.length(F.translate(x, " \t", "")) + 1).cast("int"))
+    # a line without a word is hash 0, whatever white space it has
+    h = F.transform(split, lambda x: F.when(x.rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(x)).otherwise(F.lit(0).cast("long")))
+    w = F.transform(split, lambda x: F.regexp_count(x, F.lit(WORD)).cast("int"))
     base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), h.alias("h"), w.alias("w"))
     return base.mapInArrow(_pack, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, lines binary, words binary, n_words long")
 
@@ -165,29 +185,33 @@ def runs(h: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> tuple[np.n
     return ((sums[end] - sums[start]) * back[start]).view(np.int64), start, end
 
 
-def _occurrences(batches):
+def _occurrences(least: int):
     """Hashes of the runs of each document; with a column gone, only of runs that keep a line with words."""
-    import pyarrow as pa
 
-    for b in batches:
-        lines, words = b.column("lines").to_pylist(), b.column("words").to_pylist()
-        lost = b.column("gone").to_pylist() if "gone" in b.schema.names else [None] * len(lines)
-        found = []
-        for x, w, g in zip(lines, words, lost):
-            w = np.frombuffer(w, np.int32)
-            h, start, end = runs(np.frombuffer(x, np.int64), w)
-            if g is not None:
-                kept = w > 0
-                if g:
-                    kept[_union_positions(g)] = False
-                many = np.concatenate([[0], np.cumsum(kept)])
-                h = h[many[end] > many[start]]
-            found.append(np.unique(h))
-        at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        flat = np.concatenate(found) if len(found) else np.empty(0, np.int64)
-        take = pa.array(at)
-        rest = [c for c in ("doc_id", "k") if c in b.schema.names]
-        yield pa.RecordBatch.from_arrays([pa.array(flat), *(b.column(c).take(take) for c in rest)], ["h", *rest])
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lines, words = b.column("lines").to_pylist(), b.column("words").to_pylist()
+            lost = b.column("gone").to_pylist() if "gone" in b.schema.names else [None] * len(lines)
+            found = []
+            for x, w, g in zip(lines, words, lost):
+                w = np.frombuffer(w, np.int32)
+                h, start, end = runs(np.frombuffer(x, np.int64), w, least)
+                if g is not None:
+                    kept = w > 0
+                    if g:
+                        kept[_union_positions(g)] = False
+                    many = np.concatenate([[0], np.cumsum(kept)])
+                    h = h[many[end] > many[start]]
+                found.append(np.unique(h))
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = np.concatenate(found) if len(found) else np.empty(0, np.int64)
+            take = pa.array(at)
+            rest = [c for c in ("doc_id", "k") if c in b.schema.names]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(b.column(c).take(take) for c in rest)], ["h", *rest])
+
+    return run
 
 
 def _all_lines(batches):
@@ -195,7 +219,7 @@ def _all_lines(batches):
         yield pd.DataFrame({"k": pdf.k, "gone": [np.arange(len(x) // 8, dtype=np.int32).tobytes() for x in pdf.lines]})
 
 
-def deletions(docs: DataFrame) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, gone): packed positions, from 0, of lines that are deleted from the row with key k, one row a pair.
 
     The earlier of two documents is the one with the smaller id (null ids last; equal ids by the hash
@@ -212,7 +236,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     copies = marked.where("k <> fk").select("k", "lines").mapInPandas(_all_lines, "k long, gone binary")
     side = marked.where("k = fk").select("doc_id", "k", "lines", "words")
 
-    occ = side.mapInArrow(_occurrences, f"h long, doc_id {kind}, k long")
+    occ = side.mapInArrow(_occurrences(max(min_words, 1)), f"h long, doc_id {kind}, k long")
     holders = Window.partitionBy("h")
     ranked = occ.withColumn("rank", F.row_number().over(holders.orderBy(order))).withColumn("hi", F.max("k").over(holders)).withColumn("lo", F.min("k").over(holders))
     ranked = cut(ranked.where("hi <> lo").select("h", "k", "rank"))
@@ -223,7 +247,7 @@ def deletions(docs: DataFrame) -> DataFrame:
         pairs = open_runs.join(earlier.hint("merge"), "h").where("of < rank").select("earlier", F.col("k").alias("later")).distinct()
         both = pairs.join(side.select(F.col("k").alias("later"), F.col("lines").alias("later_lines"), F.col("words").alias("later_words")).hint("merge"), "later")
         both = both.join(side.select(F.col("k").alias("earlier"), F.col("lines").alias("first_lines")).hint("merge"), "earlier")
-        got = both.select("later", "first_lines", "later_lines", "later_words").mapInPandas(_align, "k long, gone binary")
+        got = both.select("later", "first_lines", "later_lines", "later_words").mapInPandas(_align(min_words), "k long, gone binary")
         gone.append(cut(got.where(F.length("gone") > 0)))
         low, high = high, high * 4
         left = open_runs.where(F.col("rank") > low)
@@ -233,7 +257,7 @@ def deletions(docs: DataFrame) -> DataFrame:
         lost = so_far.groupBy("k").agg(F.collect_list("gone").alias("gone"))
         todo = side.join(left.select("k").distinct().hint("merge"), "k").join(lost.hint("merge"), "k", "left")
         todo = todo.select("k", "lines", "words", F.coalesce("gone", F.array().cast("array<binary>")).alias("gone"))
-        kept = todo.mapInArrow(_occurrences, "h long, k long")
+        kept = todo.mapInArrow(_occurrences(max(min_words, 1)), "h long, k long")
         open_runs = cut(left.join(kept.hint("merge"), ["h", "k"]))
         if open_runs.isEmpty():
             return so_far.unionByName(copies)
@@ -243,29 +267,38 @@ def _union_positions(blobs: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in blobs]))
 
 
-def dedup_lines(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """docs with aligned common blocks deleted from the later document of every pair.
+def dedup_lines(docs: DataFrame, digest: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with aligned common blocks of ``min_words`` words or more deleted from the later document of every pair.
 
     ``text`` loses whole lines with their line feeds; a document of which every line goes stays with an
-    empty text, a null text stays null. With ``digest`` two columns are added: n_lines and n_removed.
-    Other columns stay as they are.
+    empty text, a null text stays null. With ``digest`` two columns are added: n_lines and n_removed,
+    which replace columns of these names. Other columns stay as they are, whatever their names.
     """
-    gone = deletions(docs).groupBy("k").agg(F.collect_list("gone").alias("_gone"))
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    both = keyed.join(gone, keyed["_k"] == gone["k"], "left").drop("k", "_k")
+    key, lists, flags = fresh(docs, "_row", "_gone", "_lost")
+    gone = deletions(docs, min_words).groupBy("k").agg(F.collect_list("gone").alias(lists)).withColumnRenamed("k", key)
+    both = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(gone, key, "left")
+
+    @F.pandas_udf("array<boolean>")
+    def removed(blobs: pd.Series, n: pd.Series) -> pd.Series:
+        """For each line of a document that loses any, whether it goes."""
+
+        def mark(x, size):
+            if x is None:
+                return None
+            out = np.zeros(size, bool)
+            out[_union_positions(list(x))] = True
+            return out
 
-    @F.pandas_udf("array<int>")
-    def removed(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: [] if x is None else _union_positions(list(x)))
+        return pd.Series([mark(x, size) for x, size in zip(blobs, n)], dtype=object)
 
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    lost = F.when(F.col("_gone").isNotNull(), removed("_gone"))
-    both = both.withColumn("_lost", lost)
-    kept = F.concat_ws("\n", F.filter(split, lambda x, i: ~F.array_contains("_lost", i)))
-    new = F.when(F.col("text").isNull() | F.col("_lost").isNull(), F.col("text")).otherwise(kept)
-    names = [F.col(c) if c != "text" else new.alias("text") for c in docs.columns]
+    both = both.withColumn(flags, removed(lists, F.size(split)))
+    kept = F.concat_ws("\n", F.filter(split, lambda x, i: ~F.get(F.col(flags), i)))
+    new = F.when(F.col("text").isNull() | F.col(flags).isNull(), F.col("text")).otherwise(kept)
+    names = [new.alias("text") if c == "text" else F.col(c) for c in docs.columns if not (digest and c in ("n_lines", "n_removed"))]
     if digest:
-        names += [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.coalesce(F.array_size("_lost"), F.lit(0)).alias("n_removed")]
+        lost = F.coalesce(F.size(F.filter(flags, lambda x: x)), F.lit(0))
+        names += [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.when(F.col(flags).isNull(), 0).otherwise(lost).alias("n_removed")]
     return both.select(*names)
 
 

@@ -4,9 +4,10 @@ Every source has a token budget. Whole epochs of a source are taken first; what
 budget is filled by weighted sampling without replacement: a document draws the exponential key
 ``-ln(u) / quality`` and the smallest keys of a source are taken until the budget is reached.
 
-The prefix sum that finds the end never sorts a source in one task: keys fall into ``BUCKETS``
-ranges, sizes are summed per (source, range) with map-side combining, the short list of ranges is
-prefix-summed, and only the rows inside one range are sorted together.
+The prefix sum that finds the end never sorts a source: keys fall into ``BUCKETS`` ranges, sizes are
+summed per (source, range) with map-side combining, and the short list of ranges is prefix-summed. Rows
+in ranges before or after the one that holds the end of the budget are decided by a comparison, where
+they stand; only the rows inside that one range of a source are shuffled and sorted.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, table
 
-#: Key ranges of a source; a task sorts about 1/4096 of a source at once.
+#: Key ranges of a source; the one that is sorted holds about 1/2000 of the source at most, whatever the qualities.
 BUCKETS = 4096
+#: Sources whose plans (a row each) are broadcast; beyond that they are joined by a shuffle.
+BROADCAST = 100_000
 MAX_EPOCHS = 3
 
 
@@ -39,6 +42,17 @@ def quality(size: Column, n_chars: Column) -> Column:
     return F.lit(0.1) + F.lit(0.9) * long_enough * usual
 
 
+def key_of(doc_id: Column, size: Column, chars: Column) -> Column:
+    """The exponential key of a document."""
+    return -F.log(uniform(doc_id)) / quality(size, chars)
+
+
+def range_of(key: Column) -> Column:
+    """The range of a key: the mean of two scales that are even for the qualities 1 and 0.1."""
+    even = (F.lit(2.0) - F.exp(-key) - F.exp(-key / F.lit(10.0))) / F.lit(2.0)
+    return F.floor(even * BUCKETS).cast("int")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, weight, target) for rows (source, source_size).
 
@@ -83,32 +97,46 @@ def mix(docs: DataFrame) -> DataFrame:
     Size is the number of words (null text: 0). Documents of size 0 are never short of budget and
     are taken in every epoch and, in the fractional one, if their key comes before its end. Ties of
     keys (equal ids) fall to the smaller size. An empty table gives an empty result. Columns of the
-    input that bear one of the new names, or begin with an underscore, go; all others stay.
+    input that bear one of the new names are replaced; all others stay.
     """
-    size = word_count(F.col("text"))
-    own = [c for c in docs.columns if not c.startswith("_") and c not in ("size", "source_size", "target", "copies", "taken")]
-    base = docs.select(*own, size.alias("_size"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
-    base = base.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality(F.col("_size"), F.col("_chars")))
-    base = base.withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    return _select(base, own)
-
-
-def _select(base: DataFrame, keep: list[str]) -> DataFrame:
-    per = cut(base.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum")))
-    goal = targets(per.groupBy("source").agg(F.sum("_sum").alias("source_size")))
-    goal = goal.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    goal = goal.withColumn("_left", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    w = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_ahead", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
-    plan = per.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
-    plan = plan.select(F.col("p.source").alias("_s"), F.col("p._bucket").alias("_b"), "_ahead", "source_size", "target", "_epochs", "_left")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    end = 2 * (F.col("_ahead") + F.col("_before")) + F.col("_size") <= 2 * F.col("_left")
-    copies = (F.col("_epochs") + F.when(end & (F.col("_epochs") < MAX_EPOCHS), 1).otherwise(0)).cast("int")
-    rows = rows.withColumn("copies", copies).withColumn("size", F.col("_size"))
-    return rows.select(*keep, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    n = dict(zip(_INNER, fresh(docs, *_INNER)))
+    base = docs.select(*own, word_count(F.col("text")).alias(n["_size"]), F.coalesce(F.length("text"), F.lit(0)).alias(n["_chars"]))
+    base = base.withColumn(n["_key"], key_of(F.col("doc_id"), F.col(n["_size"]), F.col(n["_chars"])))
+    return _select(base.withColumn(n["_range"], range_of(F.col(n["_key"]))), own, n)
+
+
+_INNER = ["_size", "_chars", "_key", "_range", "_s", "_epochs", "_left", "_end", "_first", "_before"]
+
+
+def _select(base: DataFrame, keep: list[str], n: dict[str, str]) -> DataFrame:
+    """``n`` gives the names of the inner columns, as they may not clash with the user's."""
+    per = cut(base.groupBy("source", F.col(n["_range"]).alias("range")).agg(F.sum(n["_size"]).alias("sum")))
+    goal = targets(per.groupBy("source").agg(F.sum("sum").alias("source_size")))
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    goal = goal.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
+    w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("ahead", F.coalesce(F.sum("sum").over(w), F.lit(0)))
+    both = per.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
+    # the one range of a source that holds the end of its budget; all of a range before it is taken, nothing of one behind it
+    holds = (F.col("ahead") <= F.col("left")) & (F.col("left") < F.col("ahead") + F.col("sum"))
+    plan = both.groupBy(F.col("g.source").alias(n["_s"]), "source_size", "target", F.col("epochs").alias(n["_epochs"]), F.col("left").alias(n["_left"])).agg(
+        F.coalesce(F.min(F.when(holds, F.col("range"))), F.lit(BUCKETS + 1)).alias(n["_end"]), F.min(F.when(holds, F.col("ahead"))).alias(n["_first"])
+    )
+    plan = cut(plan)
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST else plan.hint("merge")
+    rows = base.join(plan, F.col("source").eqNullSafe(F.col(n["_s"])))
+    at, end = F.col(n["_range"]), F.col(n["_end"])
+    inside = Window.partitionBy("source").orderBy(n["_key"], "doc_id", n["_size"]).rowsBetween(Window.unboundedPreceding, -1)
+    some = rows.where(at == end).withColumn(n["_before"], F.coalesce(F.sum(n["_size"]).over(inside), F.lit(0)))
+    fits = 2 * (F.col(n["_first"]) + F.col(n["_before"])) + F.col(n["_size"]) <= 2 * F.col(n["_left"])
+
+    def taken(d: DataFrame, more: Column) -> DataFrame:
+        copies = (F.col(n["_epochs"]) + F.when(more & (F.col(n["_epochs"]) < MAX_EPOCHS), 1).otherwise(0)).cast("int")
+        size = F.col(n["_size"])
+        return d.select(*keep, size.alias("size"), "source_size", "target", copies.alias("copies"), (size * copies).alias("taken"))
+
+    return taken(rows.where(at != end), at < end).unionByName(taken(some, fits))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +144,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = word_count(F.col("text"))
     base = docs.select("doc_id", "source", size.alias("_size"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"))
-    base = base.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality(F.col("_size"), F.col("_chars")))
-    base = base.withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    return _select(cut(base), ["doc_id", "source"]).select("doc_id", "source", "size", "source_size", "target", "taken")
+    base = base.withColumn("_key", key_of(F.col("doc_id"), F.col("_size"), F.col("_chars")))
+    base = cut(base.withColumn("_range", range_of(F.col("_key"))))
+    return _select(base, ["doc_id", "source"], {k: k for k in _INNER}).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = f"""

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, texts_of
+from .common import cut, fresh, table, texts_of
 
 #: Labelled rows that are learned from, at most: those with the smallest hashes of their id.
 SAMPLE = 8_000
@@ -244,26 +244,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
-    """docs with one more column: the score of the whole text (null and empty ones too)."""
+    """docs with one more column: the score of the whole text (null and empty ones too), however long it is.
+
+    A column that bears the new name is replaced; all others stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     keep = [c for c in docs.columns if c != name]
+    (whole,) = fresh(docs, "_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            text = b.column(b.schema.get_field_index("_text"))
+            text = b.column(b.schema.get_field_index(whole))
             got = np.concatenate([shared.value.score(texts_of(text.slice(i, 256))) for i in range(0, len(text), 256)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(got, pa.float64())], [*keep, name])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, `{name}` double")
+    return docs.select(*keep, F.col("text").alias(whole)).mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose calibrated score stays below ``threshold``; columns are those of docs."""
-    scored = with_scores(docs, fit(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    (name,) = fresh(docs, "_toxicity")
+    scored = with_scores(docs, fit(docs, labels), name)
+    return scored.where(F.col(name) < threshold).select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

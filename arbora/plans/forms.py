@@ -173,8 +173,7 @@ def register_files(name: str, plan, sql: str, digits: int = 4) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = f"{runtime.shared_folder(spark)}/files-{uuid.uuid4().hex}"
-        fs, path = runtime._path(spark, folder)
-        fs.deleteOnExit(path)
+        runtime.delete_on_exit(spark, folder)
         return rounded(plan(spark, forest(spark, sf_dir), folder), digits)
 
     QUERIES[name] = run
@@ -295,8 +294,7 @@ SELECT path, {_r('stddev_pop(v)', 'std', 6)}, {_r('(max(v) - min(v)) / nullif(ma
 
 def _tiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{runtime.shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    fs, path = runtime._path(spark, folder)
-    fs.deleteOnExit(path)
+    runtime.delete_on_exit(spark, folder)
     files.write_tiff(cubes(spark, sf_dir), folder.removeprefix("file://"))
     back = files.read_images(spark, folder, dtype=None)
     return rounded(images.voxels(back).withColumn("path", F.regexp_extract("path", r"([^/]+)\.tiff?$", 1)))

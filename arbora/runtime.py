@@ -35,13 +35,19 @@ def remove(spark: SparkSession, folder: str) -> None:
     fs.delete(path, True)
 
 
+def delete_on_exit(spark: SparkSession, folder: str) -> None:
+    """Has a folder deleted when the session's JVM ends."""
+    fs, path = _path(spark, folder)
+    fs.mkdirs(path)  # only what is there can be marked
+    fs.deleteOnExit(path)
+
+
 def write(df: DataFrame, *by: str) -> str:
     """Writes a table to a new folder of the shared one, and has it deleted when the session's JVM ends."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(folder) if by else df.write.parquet(folder)
-    fs, path = _path(spark, folder)
-    fs.deleteOnExit(path)
+    delete_on_exit(spark, folder)
     return folder
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, table, texts_of
+from .common import components, cut, fresh, table, texts_of
 
 RADIUS = 3
 #: 64 bits in six blocks: (shift, width)
@@ -64,17 +64,18 @@ def fingerprint(text: bytes) -> int:
 def with_fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of docs and ``fp``, the signed 64-bit fingerprint of text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    (text,) = fresh(docs.select(*keep), "_text")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            i = b.schema.get_field_index("_text")
+            i = b.schema.get_field_index(text)
             fp = np.array([fingerprint(t) for t in texts_of(b.column(i))], np.uint64).view(np.int64)
-            names = [n for n in b.schema.names if n != "_text"]
+            names = [n for n in b.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fp, pa.int64())], [*names, "fp"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, fp long")
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(run, f"{fields}, fp long")
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -153,12 +154,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that share that id one stays. Rows without an id stay only where their whole group has none.
     Texts without a word are near duplicates of one another. Columns are those of ``docs``.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    prints = cut(with_fingerprints(keyed, "doc_id", "_key").withColumnRenamed("_key", "k"))
+    key, nth = fresh(docs, "_key", "_nth")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    prints = cut(with_fingerprints(keyed.select("doc_id", "text", F.col(key).alias("k")), "doc_id", "k"))
     comp = near_classes(prints.select("doc_id", "fp")).select("fp", "component_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
     lead = prints.join(comp, "fp").groupBy("component_id").agg(first.alias("first"))
-    stay = cut(lead.select(F.col("first.k").alias("_key")).distinct())
-    kept = keyed.join(stay, "_key", "left_semi")
-    w = Window.partitionBy("_key").orderBy("_key")
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
+    stay = cut(lead.select(F.col("first.k").alias(key)).distinct())
+    kept = keyed.join(stay, key, "left_semi")
+    w = Window.partitionBy(key).orderBy(key)
+    return kept.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).select(*docs.columns)

@@ -715,18 +715,24 @@ def _with_ids(docs: DataFrame, path: str, keep: list[str], finish, schema: str)
     return small.unionByName(large)
 
 
-def encode_column(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with ``tokens``: array of the ids of text (null text: empty). Another column of that name is replaced,
-    all others stay as they are."""
-    keep = [c for c in docs.columns if c != "tokens"]
+def encode_column(docs: DataFrame, path: str = MODEL, decoded: bool = False) -> DataFrame:
+    """docs with ``tokens``: array of the ids of text (null text: empty), and with ``decoded`` the text of these ids.
+
+    Columns that bear these names are replaced, all others stay as they are.
+    """
+    keep = [c for c in docs.columns if c != "tokens" and not (decoded and c == "decoded")]
 
     def finish(ids):
         import pyarrow as pa
 
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return ["tokens"], [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))]
+        out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))]
+        if decoded:
+            model = _encoder(path).m
+            out.append(pa.array([decode(model, x.tolist()) for x in ids], pa.string()))
+        return ["tokens", "decoded"][: len(out)], out
 
-    return _with_ids(docs, path, keep, finish, "tokens array<int>")
+    return _with_ids(docs, path, keep, finish, "tokens array<int>" + ", decoded string" * decoded)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:

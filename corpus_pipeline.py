@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import linededup, mixing, pieces, simhash, toxicity
-from arbora.llm.common import shared_folder, table
+from arbora.llm.common import fresh, shared_folder, table
+from arbora.runtime import delete_on_exit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +35,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source is taken up to its target: a document stands as often as the mix takes it."""
     mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    (each,) = fresh(mixed, "_copy")
+    return mixed.withColumn(each, F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and tokens of every row."""
-    return pieces.encode_column(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("tokens").alias("n_tokens"), "tokens")
+    """doc_id, source, n_tokens, tokens and exact of every row.
+
+    Tokens are decoded again; exact says whether that gives the text (a null text counts as empty). It does
+    unless the text holds U+2581, which the format keeps for spaces.
+    """
+    both = pieces.encode_column(docs.select("doc_id", "source", "text"), decoded=True)
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", "source", F.size("tokens").alias("n_tokens"), "tokens", exact.alias("exact"))
 
 
 STAGES = [
@@ -55,9 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; each is written as Parquet to the shared folder, which is deleted with the session, and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_on_exit(spark, folder)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -430,4 +430,24 @@ def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and score of every document; documents labelled as of good quality are the target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy_difference(docs, good).select("doc_id", "n_tokens", F.round("score", 9).alias("score"))
+    return cross_entropy_difference(docs, good).select("doc_id", "n_tokens", F.round("score", 7).alias("score"))
+
+
+OP2_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+k AS (
+  SELECT r, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false)::INT AS y,
+         words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] ELSE '' END AS v
+  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM t)),
+u AS (SELECT w, count(*) AS c, sum(y) AS m FROM k GROUP BY w),
+h AS (SELECT v, count(*) AS c, sum(y) AS m FROM k GROUP BY v),
+b AS (SELECT v, w, count(*) AS c, sum(y) AS m FROM k GROUP BY v, w),
+z AS (SELECT sum(c)::DOUBLE AS n, sum(m)::DOUBLE AS nm, count(*) + 1 AS size FROM u),
+s AS (
+  SELECT k.r, ln(b.c + {PRIOR}::DOUBLE * (u.c + 1) / (n + size)) - ln(h.c + {PRIOR}::DOUBLE) - ln(b.m + {PRIOR}::DOUBLE * (u.m + 1) / (nm + size)) + ln(h.m + {PRIOR}::DOUBLE) AS g
+  FROM k JOIN b ON b.v = k.v AND b.w = k.w JOIN u ON u.w = k.w JOIN h ON h.v = k.v CROSS JOIN z)
+SELECT any_value(t.doc_id) AS doc_id, any_value(len(t.words))::BIGINT AS n_tokens, round(coalesce(avg(g), 0), 7) AS score FROM t LEFT JOIN s ON s.r = t.r GROUP BY t.r
+"""

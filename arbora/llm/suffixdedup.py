@@ -411,3 +411,19 @@ def dedup_substrings(docs: DataFrame, texts: bool = False) -> DataFrame:
 def op8_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes of every document."""
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Counts every 400-byte string of every text; what is kept is cut out of the text's hexadecimal form.
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS h, encode(text) AS x FROM documents),
+w AS (SELECT r, i, md5(x[i + 1 : i + {WINDOW}]) AS m FROM (SELECT r, x, unnest(range(len(h) // 2 - {WINDOW - 1})) AS i FROM d WHERE len(h) >= {2 * WINDOW})),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) q USING (m)),
+isle AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, (i - lag(i, 1, -{2 * WINDOW}) OVER (PARTITION BY r ORDER BY i) > {WINDOW})::INT AS fresh FROM hit)),
+span AS (SELECT r, g, min(i) AS a, max(i) + {WINDOW} AS e FROM isle GROUP BY r, g),
+gap AS (SELECT r, a, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM span),
+rest AS (
+  SELECT d.r, any_value(doc_id) AS doc_id, any_value(h) AS h, count(a) AS n_spans, coalesce(sum(e - a), 0) AS n_removed,
+         coalesce(string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a), '') || substr(any_value(h), 2 * coalesce(max(e), 0) + 1) AS kept
+  FROM d LEFT JOIN gap ON gap.r = d.r GROUP BY d.r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256, (len(kept) // 2)::BIGINT AS kept_bytes FROM rest
+"""

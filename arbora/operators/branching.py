@@ -120,9 +120,9 @@ def resample_tree(nodes: DataFrame, distance: float | None = None, n: int | None
     up = F.when(F.col("pos") == 1, first).otherwise(F.struct(F.col("branch_id").alias("b"), (F.col("pos") - 1).alias("p")))
     rows = inner.select("tree_id", "type", "x", "y", "z", "r", F.struct(F.col("branch_id").alias("b"), F.col("pos").alias("p")).alias("key"), up.alias("up"))
     allrows = root.drop("_root").unionByName(rows)
-    from .surgery import _rank
+    from .surgery import rank
 
-    ranked = _rank(allrows.withColumn("_key", F.col("key")).withColumn("id", F.col("key.p")))
+    ranked = rank(allrows.withColumn("_key", F.col("key")).withColumn("id", F.col("key.p")))
     ids = ranked.select("tree_id", F.col("key").alias("up"), F.col("_rank").alias("_pid"))
     out = ranked.join(ids, ["tree_id", "up"], "left")
     return out.select("tree_id", F.col("_rank").alias("id"), "type", "x", "y", "z", "r", F.coalesce("_pid", F.lit(-1)).alias("pid"))

@@ -1,16 +1,22 @@
 """Operators that visit a tree or a point cloud as a whole: exact order, spanning trees, assembly.
 
-They are sequential by definition (each step depends on the last), so a tree is one group here.
+Spanning trees, assembly and callbacks are sequential by definition (each step depends on the last), so
+a tree is one group here. The exact order of a large tree is worked out by folds instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+from . import topology as T
+
 EPS = 1e-5
+#: Nodes of a tree that one task numbers.
+GROUP = 200_000
 SOMA, GLIA = 1, 7
 _NODE = "id int, type int, x double, y double, z double, r double, pid int"
 
@@ -46,9 +52,34 @@ def _schema(nodes: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
 
 
-def sort_nodes(nodes: DataFrame) -> DataFrame:
-    """Every tree numbered from 0 in preorder, the last sibling first; a tree without one root raises."""
-    return nodes.groupBy("tree_id").applyInPandas(lambda p: _sorted(p.sort_values("id", kind="stable")), _schema(nodes))
+def sort_nodes(nodes: DataFrame, group_up_to: int = GROUP) -> DataFrame:
+    """Every tree numbered from 0 in preorder, the last sibling first; a tree without one root raises.
+
+    Nodes that the root does not lead to go. Trees of up to ``group_up_to`` nodes are numbered one by one,
+    larger ones by folds (``_sorted_by_folds``), with the same result.
+    """
+    size = cut(nodes.groupBy("tree_id").count())
+    large = size.where(F.col("count") > group_up_to).select("tree_id")
+    if large.isEmpty():
+        return nodes.groupBy("tree_id").applyInPandas(lambda p: _sorted(p.sort_values("id", kind="stable")), _schema(nodes))
+    small = nodes.join(large, "tree_id", "left_anti").select(*nodes.columns)
+    small = small.groupBy("tree_id").applyInPandas(lambda p: _sorted(p.sort_values("id", kind="stable")), _schema(nodes))
+    return small.unionByName(_sorted_by_folds(nodes.join(large, "tree_id", "left_semi").select(*nodes.columns)))
+
+
+def _sorted_by_folds(nodes: DataFrame) -> DataFrame:
+    """A node's number is one more than its parent's plus the sizes of the subtrees of later siblings: a fold up and one down."""
+    n = T.check_single_root(nodes)
+    size = T.gather(n.select("tree_id", "id", "pid"), {"_size": (F.lit(1).cast("long"), "sum")})
+    ahead = Window.partitionBy("tree_id", "pid").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(T.is_root(), 0).otherwise(1 + F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
+    walk = n.select("tree_id", "id", "pid").join(size, ["tree_id", "id"]).withColumn("_step", step)
+    new = T.climb(walk, {"_new": (F.col("_step"), "sum")})
+    # only what the root leads to
+    tops = T.roots(n).select("tree_id", F.col("id").alias("top"))
+    new = cut(new.join(tops, ["tree_id", "top"], "left_semi").select("tree_id", "id", F.col("_new").cast("int").alias("_new")))
+    out = n.join(new, ["tree_id", "id"]).join(new.select("tree_id", F.col("id").alias("pid"), F.col("_new").alias("_up")), ["tree_id", "pid"], "left")
+    return out.withColumn("id", F.col("_new")).withColumn("pid", F.coalesce("_up", F.lit(-1))).select(*nodes.columns)
 
 
 def _linked(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -124,10 +124,12 @@ def sholl(nodes: DataFrame, steps: int = 20, shared: bool = False, step: float |
     a, b = first_at_least(F.col("lo")), first_at_least(F.col("hi"))
     marks = F.array(F.struct(a.alias("k"), F.lit(1).alias("d")), F.struct(b.alias("k"), F.lit(-1).alias("d")))
     ev = e.where("rmax > 0").select("tree_id", "rmax", "gap", "n", F.explode(marks).alias("m")).groupBy("tree_id", F.col("m.k").alias("k")).agg(F.sum("m.d").alias("d"), F.max("rmax").alias("rmax"), F.max("n").alias("n"), F.max("gap").alias("gap"))
-    per = ev.groupBy("tree_id").agg(F.collect_list(F.struct("k", "d")).alias("ds"), F.max("rmax").alias("rmax"), F.max("n").alias("n"), F.max("gap").alias("gap"))
-    ks = per.select("tree_id", "ds", "rmax", "gap", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))).alias("k"))
-    total = F.aggregate(F.filter("ds", lambda v: v["k"] <= F.col("k")), F.lit(0).cast("long"), lambda acc, v: acc + v["d"])
-    return ks.select("tree_id", F.col("k").cast("int").alias("k"), radius(F.col("k")).alias("radius"), total.alias("crossings"))
+    per = ev.groupBy("tree_id").agg(F.max("rmax").alias("rmax"), F.max("n").alias("n"), F.max("gap").alias("gap"))
+    ks = per.select("tree_id", "rmax", "gap", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n"), F.lit(1)).cast("long"))).alias("k"))
+    both = ks.select("tree_id", "k", F.lit(0).cast("long").alias("d")).unionByName(ev.select("tree_id", "k", "d")).groupBy("tree_id", "k").agg(F.sum("d").alias("d"))
+    total = F.sum("d").over(Window.partitionBy("tree_id").orderBy("k"))
+    counted = both.withColumn("crossings", total).select("tree_id", "k", "crossings")
+    return ks.join(counted, ["tree_id", "k"]).select("tree_id", F.col("k").cast("int").alias("k"), radius(F.col("k")).alias("radius"), "crossings")
 
 
 def sholl_at(nodes: DataFrame, r: float) -> DataFrame:
@@ -159,6 +161,8 @@ FEATURES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "node_branch_order": lambda n: node_branch_order(n).select("tree_id", F.col("id").alias("pos"), F.col("branch_order").cast("double").alias("value")),
     "furcation_count": _count_where("n_children > 1"),
     "furcation_radial_distance": _nodes_where("n_children > 1"),
+    "bifurcation_count": _count_where("n_children > 1"),
+    "bifurcation_radial_distance": _nodes_where("n_children > 1"),
     "tip_count": _count_where("n_children = 0"),
     "tip_radial_distance": _nodes_where("n_children = 0"),
     "path_count": _count_where("n_children = 0"),

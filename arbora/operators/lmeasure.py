@@ -16,6 +16,7 @@ from ..functions import solids as S
 from ..functions import vector as V
 from . import topology as T
 from .features import branch_count, radial_distance, tree_summary
+from .surgery import rank
 
 
 def node_metrics(nodes: DataFrame) -> DataFrame:
@@ -185,13 +186,12 @@ def trimmed_extent(nodes: DataFrame, percentile: float = 95.0) -> DataFrame:
 
     Of n sorted values those from place floor(n (1 - p) / 2) up to, not including, floor(n (1 - (1 - p) / 2)).
     """
-    share = 1 - percentile / 100
-    out = None
+    share, out = 1 - percentile / 100, None
+    size = nodes.groupBy("tree_id").agg(F.count("*").alias("n"))
+    lo, hi = F.floor(F.col("n") * (share / 2)), F.floor(F.col("n") * (1 - share / 2))
     for axis, name in zip("xyz", ("width", "height", "depth")):
-        w = Window.partitionBy("tree_id")
-        r = nodes.select("tree_id", axis, F.row_number().over(w.orderBy(axis, "id")).alias("k"), F.count("*").over(w).alias("n"))
-        lo, hi = F.floor(F.col("n") * (share / 2)), F.floor(F.col("n") * (1 - share / 2))
-        e = r.where((F.col("k") - 1 >= lo) & (F.col("k") - 1 < hi)).groupBy("tree_id").agg((F.max(axis) - F.min(axis)).alias(name))
+        r = rank(nodes.select("tree_id", "id", F.col(axis).alias("_key"))).join(size, "tree_id")
+        e = r.where((F.col("_rank") >= lo) & (F.col("_rank") < hi)).groupBy("tree_id").agg((F.max("_key") - F.min("_key")).alias(name))
         out = e if out is None else out.join(e, "tree_id")
     return out
 

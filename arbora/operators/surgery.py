@@ -37,14 +37,14 @@ def densify(nodes: DataFrame, order: Column | None = None) -> DataFrame:
     Places are counted per range of the order and added up, so no tree is sorted in one task.
     """
     key = order if order is not None else F.col("id")
-    ranked = _rank(nodes.withColumn("_key", key))
+    ranked = rank(nodes.withColumn("_key", key))
     ids = ranked.select("tree_id", F.col("id").alias("pid"), F.col("_rank").alias("_pid"))
     out = ranked.join(ids, ["tree_id", "pid"], "left")
     rest = [c for c in nodes.columns if c not in ("id", "pid", "old_id")]
     return out.select(*rest, F.col("_rank").alias("id"), F.coalesce("_pid", F.lit(-1)).alias("pid"), F.col("id").alias("old_id")).select(*[c for c in nodes.columns if c != "old_id"], "old_id")
 
 
-def _rank(n: DataFrame) -> DataFrame:
+def rank(n: DataFrame) -> DataFrame:
     """n with _rank, the place (from 0) of _key in its tree; ties by id."""
     s = cut(n.orderBy("tree_id", "_key", "id").withColumn("_i", F.monotonically_increasing_id()))
     part = F.shiftright("_i", 33)
@@ -93,6 +93,10 @@ def cut_by_furcation_order(nodes: DataFrame, most: int) -> DataFrame:
     return nodes.join(w, ["tree_id", "id"], "left_semi").select(*nodes.columns)
 
 
+#: The same by its older name.
+cut_by_bifurcation_order = cut_by_furcation_order
+
+
 def cut_by_box(nodes: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
     """Nodes inside the box (bounds included) whose whole way to the root is inside, too."""
     if not all(a < b for a, b in zip(low, high)):

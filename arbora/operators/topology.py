@@ -88,6 +88,10 @@ def furcations(nodes: DataFrame) -> DataFrame:
     return child_counts(nodes).where("n_children > 1").select(*nodes.columns)
 
 
+#: The same by its older name.
+bifurcations = furcations
+
+
 def climb(nodes: DataFrame, values: dict[str, tuple[Column, str]], stop: Column | None = None) -> DataFrame:
     """Folds over the way from every node to its root.
 
@@ -203,6 +207,13 @@ def checks(nodes: DataFrame) -> DataFrame:
     return c.join(cyc, "tree_id").withColumn("single_root", (F.col("n_components") == 1) & ~F.col("cyclic"))
 
 
+def check_single_root(nodes: DataFrame) -> DataFrame:
+    """nodes, but a tree that has not exactly one root raises."""
+    n = nodes.groupBy("tree_id").agg(F.sum(is_root().cast("long")).alias("_n"))
+    ok = F.assert_true(F.col("_n") == 1, F.concat(F.lit("a tree must have one root: "), F.col("tree_id").cast("string")))
+    return nodes.join(n, "tree_id").where(ok.isNull()).select(*nodes.columns)
+
+
 def neurites(nodes: DataFrame, types: tuple[int, ...] | None = None) -> DataFrame:
     """nodes but the root with neurite_id, the child of the root they descend from.
 
@@ -236,18 +247,42 @@ def branches(nodes: DataFrame, degenerate: bool = False) -> DataFrame:
     return out.join(nodes.select("tree_id", "id", "type", "x", "y", "z", "r"), ["tree_id", "id"]).select("tree_id", "branch_id", "pos", "id", "type", "x", "y", "z", "r")
 
 
+def ancestors(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(tree_id, id, steps, ancestor) of every node (tree_id, id) of ``seeds`` and every node above it, itself at 0 steps.
+
+    Tables of the nodes 1, 2, 4, ... steps up are made first. From the longest jump down, each row that
+    is there gives another one a jump further, so every ancestor is met once and no row holds a way.
+    On a cycle the ways are as long as the tree has nodes at least.
+    """
+    kind = dict(nodes.dtypes)["id"]
+    up = cut(nodes.where(~is_root()).select("tree_id", "id", F.col("pid").cast(kind).alias("up")).join(nodes.select("tree_id", F.col("id").alias("up")), ["tree_id", "up"], "left_semi").select("tree_id", "id", "up"))
+    jumps, limit = [], None
+    while not up.isEmpty():
+        jumps.append(up)
+        if len(jumps) == FREE_ROUNDS:
+            limit = int(nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0]).bit_length()
+        if limit is not None and len(jumps) >= limit:
+            break
+        up = cut(up.join(up.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_far")), ["tree_id", "up"]).select("tree_id", "id", F.col("_far").alias("up")))
+    s = seeds.select("tree_id", "id").distinct().join(nodes.select("tree_id", "id"), ["tree_id", "id"], "left_semi")
+    s = s.select("tree_id", "id", F.lit(0).cast("long").alias("steps"), F.col("id").alias("ancestor"))
+    for k in reversed(range(len(jumps))):
+        s = cut(s)
+        far = jumps[k].select("tree_id", F.col("id").alias("ancestor"), "up")
+        s = s.unionByName(s.join(far, ["tree_id", "ancestor"]).select("tree_id", "id", (F.col("steps") + (1 << k)).alias("steps"), F.col("up").alias("ancestor")))
+    return s
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree_id, path_id, pos, id): the nodes from the root (pos 0) to every tip; path_id is the tip."""
-    w = climb(nodes, {"way": (F.array("id"), "concat")})
-    t = tips(nodes).select("tree_id", "id")
-    one = w.join(t, ["tree_id", "id"], "left_semi")
-    return one.select("tree_id", F.col("id").alias("path_id"), F.posexplode(F.reverse("way")).alias("pos", "id"))
+    a = cut(ancestors(nodes, tips(nodes)))
+    top = a.groupBy("tree_id", "id").agg(F.max("steps").alias("_top"))
+    return a.join(top, ["tree_id", "id"]).select("tree_id", F.col("id").alias("path_id"), (F.col("_top") - F.col("steps")).cast("int").alias("pos"), F.col("ancestor").alias("id"))
 
 
 def closure(nodes: DataFrame) -> DataFrame:
     """(tree_id, id, ancestor) of every node and every node above it, itself included."""
-    w = climb(nodes, {"way": (F.array("id"), "concat")})
-    return w.select("tree_id", "id", F.explode("way").alias("ancestor"))
+    return ancestors(nodes, nodes).select("tree_id", "id", "ancestor")
 
 
 def subtree(nodes: DataFrame, starts: DataFrame) -> DataFrame:

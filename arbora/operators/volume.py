@@ -128,8 +128,9 @@ def sampled_volume(nodes: DataFrame, samples: int = 20_000, seed: int = 0) -> Da
     """(tree_id, volume) by points drawn evenly from the edges' own volumes.
 
     Of a point drawn in one part (sphere or frustum) 1 / (number of parts that hold it) counts, so the
-    sum is the volume of the union. Parts meet points through the cells of a grid as wide as the widest
-    part of the tree, by an equi-join.
+    sum is the volume of the union. Parts meet points through the cells of grids, by an equi-join: a part
+    lies in a grid about as wide as itself, a point in a cell of each grid that its tree has parts in, so one
+    wide soma does not make every point meet every part.
     """
     e = T.edges(nodes)
     cone = e.select("tree_id", F.col("id").alias("part"), *(F.col(f"p_{k}").alias(f"a_{k}") for k in "xyzr"), *(F.col(f"c_{k}").alias(f"b_{k}") for k in "xyzr")).where("NOT (a_x = b_x AND a_y = b_y AND a_z = b_z)")
@@ -138,8 +139,8 @@ def sampled_volume(nodes: DataFrame, samples: int = 20_000, seed: int = 0) -> Da
     lo = {k: F.least(F.col(f"a_{k}") - F.col("a_r"), F.col(f"b_{k}") - F.col("b_r")) for k in "xyz"}
     hi = {k: F.greatest(F.col(f"a_{k}") + F.col("a_r"), F.col(f"b_{k}") + F.col("b_r")) for k in "xyz"}
     size = F.greatest(*(hi[k] - lo[k] for k in "xyz"))
-    width = parts.groupBy("tree_id").agg(F.max(size).alias("w"))
-    parts = parts.join(width, "tree_id")
+    parts = parts.withColumn("level", F.ceil(F.log2(F.greatest(size, F.lit(1e-9)))).cast("int")).withColumn("w", F.pow(F.lit(2.0), F.col("level")))
+    levels = parts.select("tree_id", "level", "w").distinct()
     cells = [F.explode(F.sequence(F.floor(lo[k] / F.col("w")), F.floor(hi[k] / F.col("w")))) for k in "xyz"]
     grid = parts
     for k, c in zip("xyz", cells):
@@ -158,14 +159,14 @@ def sampled_volume(nodes: DataFrame, samples: int = 20_000, seed: int = 0) -> Da
                 p = lo + rng.random((int(r.n), 3)) * (hi - lo)
                 ok = ((p - a) ** 2).sum(1) <= r.a_r**2 if r.part < 0 else _inside_frustum(p, a, b, r.a_r, r.b_r)
                 p = p[ok]
-                out.append(pd.DataFrame({"tree_id": r.tree_id, "src": r.part, "k": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "weight": float(np.prod(hi - lo)) / int(r.n), "w": r.w}))
+                out.append(pd.DataFrame({"tree_id": r.tree_id, "src": r.part, "k": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "weight": float(np.prod(hi - lo)) / int(r.n)}))
             if out:
                 yield pd.concat(out)
 
-    pts = parts.join(share, "tree_id").mapInPandas(draw, f"tree_id {kind}, src int, k int, x double, y double, z double, weight double, w double")
+    pts = parts.join(share, "tree_id").mapInPandas(draw, f"tree_id {kind}, src int, k int, x double, y double, z double, weight double").join(levels, "tree_id")
     for k in "xyz":
         pts = pts.withColumn(f"g{k}", F.floor(F.col(k) / F.col("w")))
-    j = pts.join(grid.drop("w"), ["tree_id", "gx", "gy", "gz"])
+    j = pts.join(grid.drop("w"), ["tree_id", "level", "gx", "gy", "gz"])
     a, b = V.vec("a_"), V.vec("b_")
     d = F.when(F.col("part") < 0, S.sdf_sphere(V.vec(), a, F.col("a_r"))).otherwise(S.sdf_frustum(V.vec(), a, b, F.col("a_r"), F.col("b_r")))
     held = j.withColumn("in", ((d <= 0) | (F.col("part") == F.col("src"))).cast("int"))

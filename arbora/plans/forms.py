@@ -302,3 +302,25 @@ def _tiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stack_files"] = _tiff_files
 ORACLE_SQL["stack_files"] = _CUBE + _VOXEL
+
+# Section: whole-tree operators where SQL can follow
+
+_LINES = lambda n: T.branches(n).select("tree_id", F.col("branch_id").alias("line_id"), "pos", "type", "x", "y", "z", "r")
+register("lines_length", lambda n: T.edges(construct.lines_to_tree(_LINES(n), thre=1e-6)).groupBy("tree_id").agg(F.count("*").alias("n_edges"), F.sum("length").alias("length")), CTE + f"SELECT tree_id, count(*)::BIGINT AS n_edges, {_r('sum(step)', 'length')} FROM par WHERE pid <> -1 GROUP BY tree_id")
+register("link_two", lambda n: construct.link_nearest(n.withColumn("pid", F.when(F.col("id") == 40, -1).otherwise(F.col("pid")))), CTE + f""",
+cut AS (SELECT tree_id, id, x, y, z, CASE WHEN id = 40 THEN -1 ELSE pid END AS pid FROM nodes),
+rc AS (SELECT tree_id, id, id AS root FROM cut WHERE pid = -1 UNION ALL SELECT c.tree_id, c.id, r.root FROM rc r JOIN cut c ON c.tree_id = r.tree_id AND c.pid = r.id),
+near AS (SELECT m.tree_id, 40 AS id, arg_min(m.id, struct_pack(d := sqrt((m.x - s.x) ** 2 + (m.y - s.y) ** 2 + (m.z - s.z) ** 2), i := m.id)) AS up
+         FROM cut m JOIN rc ON rc.tree_id = m.tree_id AND rc.id = m.id AND rc.root = 0 JOIN cut s ON s.tree_id = m.tree_id AND s.id = 40 GROUP BY m.tree_id)
+SELECT n.tree_id, n.id::BIGINT AS id, n.type::BIGINT AS type, coalesce(near.up, n.pid)::BIGINT AS pid, {', '.join(_r(f'n.{c}', c) for c in 'xyzr')} FROM nodes n LEFT JOIN near ON near.tree_id = n.tree_id AND near.id = n.id""")
+ORACLE_SQL["standardise"] = CTE + BRANCH + f""",
+ln AS (SELECT *, x1 - x0 AS vx, y1 - y0 AS vy, z1 - z0 AS vz, straight AS size FROM bl),
+pt AS (SELECT b.tree_id, b.branch_id, b.pos, b.r, l.size, l.n_nodes, b.x - x0 AS dx, b.y - y0 AS dy, b.z - z0 AS dz, vx / nullif(size, 0) AS ex, vy / nullif(size, 0) AS ey, vz / nullif(size, 0) AS ez,
+              max(b.r) OVER (PARTITION BY b.tree_id, b.branch_id) AS top FROM bp b JOIN ln l USING (tree_id, branch_id)),
+ax AS (SELECT *, dx * ex + dy * ey + dz * ez AS along FROM pt),
+of AS (SELECT *, dx - along * ex AS ox, dy - along * ey AS oy, dz - along * ez AS oz, sqrt((dx - along * ex) ** 2 + (dy - along * ey) ** 2 + (dz - along * ez) ** 2) AS far FROM ax),
+fr AS (SELECT tree_id, branch_id, arg_max(struct_pack(x := ox / far, y := oy / far, z := oz / far), struct_pack(f := far, p := -pos)) AS w FROM of WHERE far > 1e-12 AND pos > 0 AND pos < n_nodes - 1 GROUP BY ALL)
+SELECT o.tree_id, o.branch_id::BIGINT AS branch_id, o.pos::BIGINT AS pos, {_r('CASE WHEN size = 0 THEN dx ELSE along / size END', 'x')},
+       {_r('CASE WHEN size = 0 THEN dy WHEN w IS NULL THEN 0 ELSE (dx * w.x + dy * w.y + dz * w.z) / size END', 'y')},
+       {_r('CASE WHEN size = 0 THEN dz WHEN w IS NULL THEN 0 ELSE (dx * (ey * w.z - ez * w.y) + dy * (ez * w.x - ex * w.z) + dz * (ex * w.y - ey * w.x)) / size END', 'z')}, {_r('r / top', 'r')}
+FROM of o LEFT JOIN fr ON fr.tree_id = o.tree_id AND fr.branch_id = o.branch_id"""

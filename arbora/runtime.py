@@ -59,6 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df))
 
 
+def empty(spark: SparkSession, schema) -> DataFrame:
+    """No rows, and known to have none (a table made of an empty list counts as unboundedly large)."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+
 class Rounds:
     """The state of an iteration, cut at every round into rows that are done and rows that are live.
 
@@ -68,7 +73,7 @@ class Rounds:
 
     def __init__(self, df: DataFrame, live: str):
         self.spark, self.flag, self.last = df.sparkSession, live, None
-        self.done = self.spark.createDataFrame([], df.drop(live).schema)
+        self.done = empty(self.spark, df.drop(live).schema)
         self.next(df)
 
     def _read(self, folder: str, schema) -> DataFrame | None:
@@ -82,7 +87,7 @@ class Rounds:
         done, live = (self._read(f"{folder}/{self.flag}={i}", schema) for i in (0, 1))
         self.done = self.done if done is None else self.done.unionByName(done)
         self.over = live is None
-        self.live = self.spark.createDataFrame([], schema) if live is None else live
+        self.live = empty(self.spark, schema) if live is None else live
         if self.last:
             remove(self.spark, f"{self.last}/{self.flag}=1")
         self.last = folder

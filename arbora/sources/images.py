@@ -288,6 +288,16 @@ def read_images(spark: SparkSession, path: str, dtype: str | None = "f4", patter
     return files.mapInPandas(run, SCHEMA)
 
 
+def gray(images: DataFrame) -> DataFrame:
+    """Stacks with their first channel alone, of shape (x, y, z, 1)."""
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            yield pd.DataFrame([row(r.path, array(r.shape, r.dtype, bytes(r.data))[..., :1]) for r in pdf.itertuples()], columns=["path", "shape", "dtype", "data"])
+
+    return images.select("path", "shape", "dtype", "data").mapInPandas(run, SCHEMA)
+
+
 def labelled(images: DataFrame, label: int | Column) -> DataFrame:
     """images with an int label, constant or made from the path."""
     return images.withColumn("label", (F.lit(label) if isinstance(label, int) else label).cast("int"))

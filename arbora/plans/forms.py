@@ -180,7 +180,13 @@ def register_files(name: str, plan, sql: str, digits: int = 4) -> None:
     ORACLE_SQL[name] = CTE + sql
 
 
-_NAME = F.regexp_replace(F.element_at(F.split("tree_id", "/"), -1), r"\.e?swc$", "").cast("long")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """tree_id as the number that a file is named by."""
+    return df.withColumn("tree_id", F.regexp_replace(F.element_at(F.split("tree_id", "/"), -1), r"\.e?swc$", "").cast("long"))
+
+
 _DFS = """,
 way AS (SELECT *, [0] AS path FROM nodes WHERE pid = -1 UNION ALL SELECT n.*, list_append(w.path, -n.id) FROM way w JOIN nodes n ON n.tree_id = w.tree_id AND n.pid = w.id),
 num AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS new FROM way)
@@ -191,19 +197,19 @@ _PLAIN = f"SELECT tree_id, (id + 1)::BIGINT AS id, type::BIGINT AS type, (CASE W
 
 def _swc_files(spark: SparkSession, n: DataFrame, folder: str) -> DataFrame:
     swc.write_swc(n, folder)
-    return swc.read_swc(spark, folder).withColumn("tree_id", _NAME)
+    return _named(swc.read_swc(spark, folder))
 
 
 def _swc_format(spark: SparkSession, n: DataFrame, folder: str) -> DataFrame:
     swc.write_swc(n, folder)
     swc.register(spark)
-    return spark.read.format("swc").load(folder).withColumn("tree_id", _NAME)
+    return _named(spark.read.format("swc").load(folder))
 
 
 def _eswc_files(spark: SparkSession, n: DataFrame, folder: str) -> DataFrame:
     extra = {c: (F.col("id") * (i + 1)).cast("int") for i, c in enumerate(schema.EXTENDED)}
     swc.write_eswc(n.withColumns(extra), folder)
-    return swc.read_eswc(spark, folder, sort=False).withColumn("tree_id", _NAME).select("tree_id", "id", "pid", "x", *schema.EXTENDED)
+    return _named(swc.read_eswc(spark, folder, sort=False)).select("tree_id", "id", "pid", "x", *schema.EXTENDED)
 
 
 def _found(spark: SparkSession, n: DataFrame, folder: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """A sample of the registered queries against DuckDB, and the contract of the entry module."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -7,7 +11,7 @@ import __spark_entry__ as entry
 from arbora.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["tree_summary", "sholl", "bif_local", "volume_acc3", "branch_features", "redirect_tree", "feature_histogram", "image_equalise", "swc_roundtrip"]
+SAMPLE = ["tree_summary", "sholl", "bif_local", "volume_acc3", "branch_features", "redirect_tree", "feature_histogram", "image_equalise", "swc_roundtrip", "checks_knots", "components_many", "swc_files", "asc_branches", "stack_files", "stack_v3dpbd", "spanning_length", "sphere_line", "standardise"]
 
 
 def canon(df):
@@ -42,6 +46,11 @@ def test_voxelise_lists_every_voxel(spark):
     assert want and want <= {tuple(r) for r in some.collect()}
 
 
+def test_entry_imports_without_a_session():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout.split()[-1]) > 100, done.stderr[-500:]
+
+
 def test_contract(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and catalog.FLAGSHIP in q

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL = {"op2_lmscore": lmscore.OP2_SQL, "op3_topk": topk.OP3_SQL, "op8_suffixdedup": suffixdedup.OP8_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {"op2_lmscore": lmscore.OP2_SQL, "op3_topk": topk.OP3_SQL, "op5_urls": urls.OP5_SQL, "op8_suffixdedup": suffixdedup.OP8_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -50,7 +50,8 @@ def key_of(doc_id: Column, size: Column, chars: Column) -> Column:
 def range_of(key: Column) -> Column:
     """The range of a key: the mean of two scales that are even for the qualities 1 and 0.1."""
     even = (F.lit(2.0) - F.exp(-key) - F.exp(-key / F.lit(10.0))) / F.lit(2.0)
-    return F.floor(even * BUCKETS).cast("int")
+    # known not to be null: else joins by it filter for that first, and work the whole key out once more for it
+    return F.coalesce(F.floor(even * BUCKETS).cast("int"), F.lit(0))
 
 
 def targets(sizes: DataFrame) -> DataFrame:

@@ -363,9 +363,15 @@ def tile_at(tiles: DataFrame, points: DataFrame, level: int = 0) -> DataFrame:
 
 
 def patch(spark: SparkSession, tiles: DataFrame, start: tuple[int, int, int], end: tuple[int, int, int], level: int = 0) -> np.ndarray:
-    """The box [start, end) in x, y, z of a level (x, y, z, 1); where no tile is, zeros."""
+    """The box [start, end) in x, y, z of a level (x, y, z, 1); where no tile is, zeros.
+
+    Only tiles that the box meets are read: on each axis from the last one that begins at or before its start.
+    """
     (xa, ya, za), (xb, yb, zb) = start, end
     t = tiles.where((F.col("level") == level) & (F.col("x0") < xb) & (F.col("y0") < yb) & (F.col("z0") < zb))
+    low = t.agg(*(F.max(F.when(F.col(f"{c}0") <= a, F.col(f"{c}0"))).alias(c) for c, a in zip("xyz", start))).first()
+    for c in "xyz":
+        t = t.where(F.col(f"{c}0") >= (low[c] or 0))
     files = spark.read.format("binaryFile").load([r["path"] for r in t.select("path").collect()] or [os.devnull]) if not t.isEmpty() else None
     out = np.zeros((xb - xa, yb - ya, zb - za, 1), np.float32)
     if files is None:

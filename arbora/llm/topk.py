@@ -3,9 +3,9 @@
 Vectors are cut into ``LISTS`` runs of dimensions; each run gives one list of partial scores per query
 and block of candidates.
 
-1. Gather: of every list a block scores the candidates that are longest in its dimensions, and sends
-   their ``k`` best scores. The k-th best over all blocks is a score that k candidates really reach, so
-   it is a safe cutoff for the query.
+1. Gather: a block takes of one list, that in which the query is longest, the ``k`` best entries, scores
+   these candidates in full and sends their ``k`` best scores. The k-th best over all blocks is a score that
+   k candidates really reach, so it is a safe cutoff for the query.
 2. Collect: the cutoff goes back to every block. The uniform threshold is its share cutoff / LISTS a
    list: a candidate that reaches the cutoff has the seen lists above their shares by what the unseen
    ones fall short of theirs, and these give at most the product of the lengths there. So after half of
@@ -27,8 +27,6 @@ from .common import cut, table
 
 LISTS = 4
 ROW_BLOCK = 16384
-#: A block scores the longest 1/HEAD of each of its lists, at least k + 1, in phase 1.
-HEAD = 64
 #: Queries scored together inside a task.
 QUERY_BLOCK = 128
 
@@ -80,9 +78,6 @@ class Block:
         square = self.rows.astype(np.float64) ** 2
         lengths = np.stack([square[:, d].sum(1) for d in self.cuts])
         self.rest = np.sqrt(lengths[LISTS // 2 :].sum(0))
-        most = max(k + 1, len(ids) // HEAD)
-        heads = [np.argpartition(-x, most - 1)[:most] for x in lengths] if most < len(ids) else [np.arange(len(ids))]
-        self.head = np.unique(np.concatenate(heads))
         self.top = float(np.abs(self.rows).max(initial=0))
         self.kinds: dict = {}
 
@@ -96,12 +91,26 @@ class Block:
             self.kinds[kind] = [np.ascontiguousarray(self.rows[:, d].T.astype(kind)) for d in self.cuts]
         return q.astype(kind), self.kinds[kind], kind
 
+    def _rows(self, kind: type) -> np.ndarray:
+        if (kind, "rows") not in self.kinds:
+            self.kinds[kind, "rows"] = self.rows.astype(kind)
+        return self.kinds[kind, "rows"]
+
     def gather(self, qids: np.ndarray, q: np.ndarray) -> list[list[int]]:
-        """The k best scores of each query among the heads of the lists."""
-        q, lists, _ = self._lists(q)
-        s = sum(q[:, d] @ c[:, self.head] for d, c in zip(self.cuts, lists))
-        self.scored += LISTS * s.size
-        other = self.ids[self.head][None] != qids[:, None]
+        """The k best scores of each query among the best entries of the list in which it is longest."""
+        q, lists, kind = self._lists(q)
+        telling = np.stack([(q[:, d].astype(np.float64) ** 2).sum(1) for d in self.cuts]).argmax(0)
+        most = min(self.k + 1, len(self.ids))  # one more: the query itself may be among them
+        best = np.zeros((len(q), most), np.int64)
+        for n, (d, c) in enumerate(zip(self.cuts, lists)):
+            at = np.flatnonzero(telling == n)
+            if len(at):
+                part = q[at][:, d] @ c
+                self.scored += part.size
+                best[at] = np.argpartition(-part, most - 1, axis=1)[:, :most] if most < len(self.ids) else np.arange(len(self.ids))
+        s = (self._rows(kind)[best] * q[:, None]).sum(2, dtype=kind)
+        self.scored += (LISTS - 1) * s.size
+        other = self.ids[best] != qids[:, None]
         return [np.sort(x[ok])[::-1][: self.k].astype(np.int64).tolist() for x, ok in zip(s, other)]
 
     def collect(self, qids: np.ndarray, q: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +129,7 @@ class Block:
             score = (seen + sum(q[:, d] @ c for d, c in zip(self.cuts[half:], lists[half:])))[i, j]
             self.scored += (LISTS - half) * seen.size
         else:
-            if (kind, "rows") not in self.kinds:
-                self.kinds[kind, "rows"] = self.rows[:, late].astype(kind)
-            rest = self.kinds[kind, "rows"]
+            rest = self._rows(kind)[:, late]
             score = seen[i, j]
             for a in range(0, len(i), 1 << 16):
                 part = slice(a, a + (1 << 16))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, table
+from .common import WORD, cut, fresh, table, thrifty
 
 MIN_WORDS = 25
 #: Base of the polynomial hash of a run of lines, and its inverse modulo 2**64.
@@ -162,7 +162,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     h = F.transform(split, lambda x: F.when(x.rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(x)).otherwise(F.lit(0).cast("long")))
     w = F.transform(split, lambda x: F.regexp_count(x, F.lit(WORD)).cast("int"))
     base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), h.alias("h"), w.alias("w"))
-    return base.mapInArrow(_pack, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, lines binary, words binary, n_words long")
+    return base.mapInArrow(thrifty(_pack), f"doc_id {dict(docs.dtypes)['doc_id']}, k long, lines binary, words binary, n_words long")
 
 
 def runs(h: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copies = marked.where("k <> fk").select("k", "lines").mapInPandas(_all_lines, "k long, gone binary")
     side = marked.where("k = fk").select("doc_id", "k", "lines", "words")
 
-    occ = side.mapInArrow(_occurrences(max(min_words, 1)), f"h long, doc_id {kind}, k long")
+    occ = side.mapInArrow(thrifty(_occurrences(max(min_words, 1))), f"h long, doc_id {kind}, k long")
     holders = Window.partitionBy("h")
     ranked = occ.withColumn("rank", F.row_number().over(holders.orderBy(order))).withColumn("hi", F.max("k").over(holders)).withColumn("lo", F.min("k").over(holders))
     ranked = cut(ranked.where("hi <> lo").select("h", "k", "rank"))
@@ -247,7 +247,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = open_runs.join(earlier.hint("merge"), "h").where("of < rank").select("earlier", F.col("k").alias("later")).distinct()
         both = pairs.join(side.select(F.col("k").alias("later"), F.col("lines").alias("later_lines"), F.col("words").alias("later_words")).hint("merge"), "later")
         both = both.join(side.select(F.col("k").alias("earlier"), F.col("lines").alias("first_lines")).hint("merge"), "earlier")
-        got = both.select("later", "first_lines", "later_lines", "later_words").mapInPandas(_align(min_words), "k long, gone binary")
+        got = both.select("later", "first_lines", "later_lines", "later_words").mapInPandas(thrifty(_align(min_words)), "k long, gone binary")
         gone.append(cut(got.where(F.length("gone") > 0)))
         low, high = high, high * 4
         left = open_runs.where(F.col("rank") > low)
@@ -257,7 +257,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         lost = so_far.groupBy("k").agg(F.collect_list("gone").alias("gone"))
         todo = side.join(left.select("k").distinct().hint("merge"), "k").join(lost.hint("merge"), "k", "left")
         todo = todo.select("k", "lines", "words", F.coalesce("gone", F.array().cast("array<binary>")).alias("gone"))
-        kept = todo.mapInArrow(_occurrences(max(min_words, 1)), "h long, k long")
+        kept = todo.mapInArrow(thrifty(_occurrences(max(min_words, 1))), "h long, k long")
         open_runs = cut(left.join(kept.hint("merge"), ["h", "k"]))
         if open_runs.isEmpty():
             return so_far.unionByName(copies)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, table, thrifty
 
 #: The public model file; pass another path to use another model.
 MODEL = os.environ.get("ARBORA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -40,9 +40,9 @@ LONG = 40
 #: How far a cut looks for a word start, and the characters kept before a chunk (above the longest piece).
 LOOK, PAD = 4096, 64
 #: Words of a generation; a worker remembers two, so a word is forgotten only if it is not met for as many new ones.
-REMEMBERED = 180_000
+REMEMBERED = 150_000
 #: Words that are worked out at once, and rows that are encoded at once.
-BATCH, ROWS = 20_000, 1500
+BATCH, ROWS = 10_000, 1000
 #: Chunks of a block: their matrices are multiplied in one task, the products of blocks are then scanned.
 BLOCK = 64
 SPACE = "▁"
@@ -639,11 +639,11 @@ def encode_giants(texts: DataFrame, path: str = MODEL, chunk: int = CHUNK, look:
             ids = [enc.chunk_ids(r.piece, *places(enc, r), r.r, r.c) for r in pdf.itertuples()]
             yield pd.DataFrame({"k": pdf.k, "i": pdf.i, "part": ids})
 
-    got = cut(chunks.mapInPandas(matrices, "k long, i int, block int, rows int, cols int, m binary"))
+    got = cut(chunks.mapInPandas(thrifty(matrices), "k long, i int, block int, rows int, cols int, m binary"))
     products = got.groupBy("k", "block").applyInPandas(product, "k long, block int, rows int, cols int, m binary")
     fixed = products.groupBy("k").applyInPandas(ends, "k long, block int, r0 int, c0 int")
     chosen = got.join(fixed, ["k", "block"]).groupBy("k", "block").applyInPandas(inside, "k long, i int, r int, c int")
-    parts = chunks.join(chosen, ["k", "i"]).repartition(n, "k", "i").mapInPandas(traces, "k long, i int, part binary")
+    parts = chunks.join(chosen, ["k", "i"]).repartition(n, "k", "i").mapInPandas(thrifty(traces), "k long, i int, part binary")
     whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("p"))
 
     def join(batches):
@@ -708,31 +708,36 @@ def _with_ids(docs: DataFrame, path: str, keep: list[str], finish, schema: str)
             yield rows(b, 0, len(ids), ids)
 
     giant = F.coalesce(F.length("text") >= CHUNK, F.lit(False))
-    small = docs.where(~giant).select(*keep, F.col("text").alias(name)).mapInArrow(encode, fields)
+    if "text" in keep:
+        name = "text"  # sent once
+    small = docs.where(~giant).select(*keep, *([F.col("text").alias(name)] if name != "text" else [])).mapInArrow(thrifty(encode), fields)
     ids = encode_giants(docs.where(giant).select(F.xxhash64("text").alias("k"), "text").dropDuplicates(["k"]), path)
     ids = ids.select(F.col("k").alias(key), F.col("ids").alias(got))
-    large = docs.where(giant).select(*keep, F.xxhash64("text").alias(key)).join(ids, key).mapInArrow(attach, fields)
+    large = docs.where(giant).select(*keep, F.xxhash64("text").alias(key)).join(ids, key).mapInArrow(thrifty(attach), fields)
     return small.unionByName(large)
 
 
-def encode_column(docs: DataFrame, path: str = MODEL, decoded: bool = False) -> DataFrame:
-    """docs with ``tokens``: array of the ids of text (null text: empty), and with ``decoded`` the text of these ids.
+def encode_column(docs: DataFrame, path: str = MODEL, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """docs, or its columns ``keep``, with ``tokens``: array of the ids of text (null text: empty), and with ``decoded`` also decoded_hash:
+    the 64-bit hash, as ``xxhash64`` of a column gives it, of the text that these ids decode to.
 
     Columns that bear these names are replaced, all others stay as they are.
     """
-    keep = [c for c in docs.columns if c != "tokens" and not (decoded and c == "decoded")]
+    keep = [c for c in keep or docs.columns if c != "tokens" and not (decoded and c == "decoded_hash")]
 
     def finish(ids):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))]
         if decoded:
             model = _encoder(path).m
-            out.append(pa.array([decode(model, x.tolist()) for x in ids], pa.string()))
-        return ["tokens", "decoded"][: len(out)], out
+            back = [xxh64_intdigest(decode(model, x.tolist()).encode(), 42) for x in ids]
+            out.append(pa.array(np.array(back, np.uint64).view(np.int64)))
+        return ["tokens", "decoded_hash"][: len(out)], out
 
-    return _with_ids(docs, path, keep, finish, "tokens array<int>" + ", decoded string" * decoded)
+    return _with_ids(docs, path, keep, finish, "tokens array<int>" + ", decoded_hash long" * decoded)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, table, texts_of
+from .common import components, cut, fresh, table, texts_of, thrifty
 
 RADIUS = 3
 #: 64 bits in six blocks: (shift, width)
@@ -75,7 +75,7 @@ def with_fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             names = [n for n in b.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fp, pa.int64())], [*names, "fp"])
 
-    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(run, f"{fields}, fp long")
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(thrifty(run), f"{fields}, fp long")
 
 
 def _block(fp: Column, i: int) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, texts_of
+from .common import cut, fresh, table, texts_of, thrifty
 
 #: Labelled rows that are learned from, at most: those with the smallest hashes of their id.
 SAMPLE = 8_000
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("cell")), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "cell", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = train.mapInArrow(rows, f"doc_id {kind}, cell int, x array<double>").collect()  # numbers only, `sample` rows
+    got = train.mapInArrow(thrifty(rows), f"doc_id {kind}, cell int, x array<double>").collect()  # numbers only, `sample` rows
     got.sort(key=lambda r: r["doc_id"])
     cell = np.array([r["cell"] for r in got], np.int64)
     x = np.array([r["x"] for r in got], np.float64).reshape(len(got), FOLDS + 1, len(FEATURES))
@@ -249,7 +249,7 @@ def with_scores(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFra
     A column that bears the new name is replaced; all others stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     keep = [c for c in docs.columns if c != name]
-    (whole,) = fresh(docs, "_text")
+    whole = "text" if "text" in keep else fresh(docs, "_text")[0]  # sent once
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
@@ -260,7 +260,7 @@ def with_scores(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFra
             got = np.concatenate([shared.value.score(texts_of(text.slice(i, 256))) for i in range(0, len(text), 256)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(got, pa.float64())], [*keep, name])
 
-    return docs.select(*keep, F.col("text").alias(whole)).mapInArrow(run, f"{fields}, `{name}` double")
+    return docs.select(*keep, *([F.col("text").alias(whole)] if whole != "text" else [])).mapInArrow(thrifty(run), f"{fields}, `{name}` double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

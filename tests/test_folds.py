@@ -85,3 +85,63 @@ def test_composed_distances_are_half_the_length_to_the_last_bit(make_nodes):
 
     n = make_nodes([("s", 0, 1, 127.52, 13, 16, 1, -1), ("s", 1, 1, 135.52, 15, 32, 1, 0)])
     assert not forms._composed(n).first().inside
+
+
+def test_many_spanning_trees_at_once_equal_single_ones():
+    from arbora.operators import construct
+
+    rng = np.random.default_rng(2)
+    clouds = [rng.integers(0, 5, (int(n), 3)).astype(float) for n in rng.integers(1, 60, 40)] + [rng.random((300, 3)), np.zeros((0, 3))]
+    for bf, furcations, soma in ((0.0, 2, True), (0.4, 2, True), (0.0, -1, True), (0.3, 1, False)):
+        for p, pid in zip(clouds, construct.spanning_trees(clouds, bf, furcations, soma), strict=True):
+            assert pid.tolist() == construct.spanning_tree(p, bf, furcations, soma).tolist()
+
+
+def test_many_ellipsoids_at_once_enclose_their_points():
+    from arbora.operators import construct
+
+    rng = np.random.default_rng(4)
+    clouds = [rng.random((int(n), 2)) * (3, 1) for n in rng.integers(4, 90, 30)]
+    for p, (a, c) in zip(clouds, construct.enclosing_ellipsoids(clouds), strict=True):
+        far = np.einsum("ij,jk,ik->i", p - c, a, p - c)
+        assert 0.9 < far.max() < 1.1
+        one = construct.enclosing_ellipsoid(p)
+        assert np.allclose(a, one[0], rtol=1e-9) and np.allclose(c, one[1])
+
+
+def test_assembly_of_lines_step_by_step(spark):
+    """Against the plain way: the first line, in order, with an end near any point of the part, again and again."""
+    from arbora.operators import construct
+
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        xyz = rng.integers(0, 4, (25, 3)).astype(float)
+        firsts = np.array([0, 3, 4, 9, 12, 18, 20])
+        for thre, both in ((1.0, True), (1.0, False), (0.0, True), (9.0, True)):
+            lines = [list(range(a, b)) for a, b in zip(firsts, [*firsts[1:], 25])]
+            rows, pids = [], []
+            while lines:
+                start, line, pid = len(rows), lines.pop(0), -1
+                while line is not None:
+                    pids += [pid] * bool(line) + list(range(len(rows), len(rows) + len(line) - 1))
+                    rows += line
+                    line, pid = next(((k, e, int(d.argmin()) + start) for k, x in enumerate(lines) for e in ((0, len(x) - 1) if both else (0,)) if (d := np.linalg.norm(xyz[rows[start:]] - xyz[x[e]], axis=1)).min() <= thre), None), pid
+                    if line is not None:
+                        k, e, pid = line
+                        line = lines.pop(k)[:: -1 if e else 1]
+                        line = line[1:] if np.linalg.norm(xyz[line[0]] - xyz[rows[pid]]) < construct.EPS else line
+            got = construct.assemble(xyz, firsts, thre, both)
+            assert (got[0].tolist(), got[1].tolist()) == (rows, pids)
+
+
+def test_whole_trees_take_no_pandas_group_each(spark, wild):
+    """A call of pandas for every tree or branch costs more than the work on a small one."""
+    from arbora.operators import branching, construct
+
+    n = wild.where("tree_id <> 'o'").withColumn("pid", F.when(F.col("id") == 0, -1).otherwise(F.lit(0))).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    lines = n.select("tree_id", F.floor(F.col("id") / 6).cast("int").alias("line_id"), F.col("id").alias("pos"), "type", "x", "y", "z", "r")
+    clouds = n.select(F.col("tree_id").alias("cloud_id"), F.col("id").alias("pos"), "x", "y", "z")
+    for df in (construct.lines_to_tree(lines), construct.points_to_tree(clouds), construct.ellipses(n), construct.sort_nodes(n), branching.standardise(T.branches(n))):
+        assert "FlatMapGroups" not in plan(df) and df.count()
+    at = {r.branch_id: r for r in branching.standardise(T.branches(n.where("tree_id = '1'"))).where("pos = 1").collect()}
+    assert all(abs(r.x - 1) < 1e-9 and abs(r.y) < 1e-9 and abs(r.z) < 1e-9 for r in at.values())

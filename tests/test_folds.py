@@ -145,3 +145,27 @@ def test_whole_trees_take_no_pandas_group_each(spark, wild):
         assert "FlatMapGroups" not in plan(df) and df.count()
     at = {r.branch_id: r for r in branching.standardise(T.branches(n.where("tree_id = '1'"))).where("pos = 1").collect()}
     assert all(abs(r.x - 1) < 1e-9 and abs(r.y) < 1e-9 and abs(r.z) < 1e-9 for r in at.values())
+
+
+def test_overlaps_are_as_exact_as_a_million_points():
+    """Two cylinders of radius 1 at a right angle: what they share outside the sphere is (16 / 3) / 4 - pi / 3; all angles, a thousand at once."""
+    from arbora.operators import volume
+
+    n = 1000
+    one = np.ones(n)
+    turn = np.linspace(0, 2 * np.pi, n)
+    d = np.stack([np.zeros(n), np.cos(turn), np.sin(turn)], 1) * 9
+    f = np.stack([0 * one, -np.sin(turn), np.cos(turn)], 1) * 50
+    got = volume.overlaps(d, f, one, one, one, 1_000_000)
+    assert np.allclose(got, 4 / 3 - np.pi / 3, rtol=4.6e-3)  # a standard error of a million points
+    assert volume.overlaps(d[:1] * 0, f[:1], one[:1], one[:1], one[:1], 9)[0] == 0
+
+
+def test_voxels_go_through_no_exchange(wild, monkeypatch):
+    from arbora.operators import images
+
+    n = wild.where("tree_id < '4' AND (pid = -1 OR pid < 9999)").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    got = images.voxelise(n)
+    assert "HashAggregate" not in plan(got) and got.count() == got.distinct().count() > 0
+    monkeypatch.setattr(images, "WHOLE", 500)  # the larger trees by edges
+    assert rows(images.voxelise(n)) == rows(got)
